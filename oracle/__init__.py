@@ -1,0 +1,6 @@
+"""SQL that recomputes every query from the raw tables, for checking."""
+
+
+def all_sql() -> dict[str, str]:
+    from oracle import core
+    return {**core.SQL}

@@ -62,9 +62,12 @@ def binned(value: Column, edges: tuple[float, float]) -> Column:
             .when(value <= edges[1], "middle").otherwise("high"))
 
 
-def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double, for stable comparison and display."""
+def rounded(frame: DataFrame) -> DataFrame:
+    """Round every double for display: six decimals below ten, three below a million."""
+    def short(name: str) -> Column:
+        x = F.col(f"`{name}`")
+        return (F.when(F.abs(x) < 10, F.floor(x * 1e6 + 0.5) / 1e6)
+                .when(F.abs(x) < 1e6, F.floor(x * 1e3 + 0.5) / 1e3).otherwise(x).alias(name))
     return frame.select(*[
-        F.round(F.col(f"`{field.name}`"), digits).alias(field.name)
-        if field.dataType.typeName() == "double" else F.col(f"`{field.name}`")
+        short(field.name) if field.dataType.typeName() == "double" else F.col(f"`{field.name}`")
         for field in frame.schema.fields])

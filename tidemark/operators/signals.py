@@ -70,11 +70,14 @@ def add_signals(frame: DataFrame, *, quantile: float = fixed.QUANTILE, lookback:
     return rising_edges(conditions(components(frame), required))
 
 
-def build_signals(bars: DataFrame, index: DataFrame, **parameters) -> DataFrame:
-    """Bars to events in one cut: features, thresholds, flags and edges share a shuffle."""
+def build_signals(bars: DataFrame, context: DataFrame, **parameters) -> DataFrame:
+    """Bars to events in one cut: features, thresholds, flags and edges share a shuffle.
+
+    ``context`` is the result of ``features.index_context``.
+    """
     lookback = parameters.get("lookback", fixed.LOOKBACK)
     reach = max(features.FEATURE_REACH, lookback + 60 + 1)
-    frame = series.with_position(features.with_index(bars, features.index_context(index)))
+    frame = series.with_position(features.with_index(bars, context))
     frame = features.add_features(series.cut(frame, back=reach, ahead=0))
     return series.own_rows(add_signals(frame, **parameters))
 

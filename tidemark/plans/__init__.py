@@ -1,0 +1,6 @@
+"""Jobs composed from operators, and the registry of queries."""
+
+
+def all_queries() -> dict:
+    from tidemark.plans import queries_core
+    return {**queries_core.QUERIES}

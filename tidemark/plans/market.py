@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+from weakref import WeakKeyDictionary
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +21,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def kept(frame: DataFrame) -> DataFrame:
-    """Bar-sized tables are read by several branches of a job; ticks are scanned once for them."""
-    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+_KEPT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def kept(build):
+    """Persist a bar-sized table that several branches of a job read.
+
+    Blocks spill to disk and are recomputed from lineage when an executor is lost. The
+    frame is also built once per session and folder; ``forget`` drops all of them.
+    """
+    @wraps(build)
+    def table_of(spark: SparkSession, folder: str) -> DataFrame:
+        tables = _KEPT.setdefault(spark, {})
+        key = (build.__module__, build.__name__, folder)
+        if key not in tables:
+            tables[key] = build(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+        return tables[key]
+    return table_of
+
+
+def forget(spark: SparkSession) -> None:
+    for frame in _KEPT.pop(spark, {}).values():
+        frame.unpersist()
 
 
+@kept
 def merged_bars(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return kept(bar_ops.bars_from_ticks(
+    return bar_ops.bars_from_ticks(
         table(spark, folder, "lineitem"), at=F.to_date("l_shipdate"),
         series=F.concat("l_returnflag", "l_linestatus"), price=price,
-        size=F.col("l_quantity"), order=TICK_ORDER))
+        size=F.col("l_quantity"), order=TICK_ORDER)
 
 
 def bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,10 +75,12 @@ def order_bars(spark: SparkSession, folder: str) -> DataFrame:
         size=F.lit(1), order=["o_orderkey"]))
 
 
+@kept
 def context(spark: SparkSession, folder: str) -> DataFrame:
     """One row per session: the index, its trailing measures and the session number."""
-    return kept(features.index_context(index(spark, folder)))
+    return features.index_context(index(spark, folder))
 
 
+@kept
 def signals(spark: SparkSession, folder: str) -> DataFrame:
-    return kept(signal_ops.build_signals(bars(spark, folder), index(spark, folder)))
+    return signal_ops.build_signals(bars(spark, folder), context(spark, folder))
