@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import wraps
 from weakref import WeakKeyDictionary
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +25,44 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _KEPT: WeakKeyDictionary = WeakKeyDictionary()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for intermediate tables.
+
+    Only a local session without the setting, as in tests, gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def kept(build):
-    """Persist a bar-sized table that several branches of a job read.
+    """Write a bar-sized table once and let every later step read it from there.
 
-    Blocks spill to disk and are recomputed from lineage when an executor is lost. The
-    frame is also built once per session and folder; ``forget`` drops all of them.
+    This cuts lineage: plans stay small, a lost executor costs no recomputation, and each
+    reader prunes columns and pushes filters into the written files. Tables are written
+    once per session and source folder; ``forget`` makes the next use write them anew.
     """
     @wraps(build)
     def table_of(spark: SparkSession, folder: str) -> DataFrame:
         tables = _KEPT.setdefault(spark, {})
         key = (build.__module__, build.__name__, folder)
         if key not in tables:
-            tables[key] = build(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+            frame = build(spark, folder)
+            path = f"{scratch_folder(spark)}/{build.__name__}-{uuid.uuid4().hex}"
+            frame.write.parquet(path)
+            tables[key] = spark.read.schema(frame.schema).parquet(path)
         return tables[key]
     return table_of
 
 
 def forget(spark: SparkSession) -> None:
-    for frame in _KEPT.pop(spark, {}).values():
-        frame.unpersist()
+    """Stop reusing the tables written so far in this session."""
+    _KEPT.pop(spark, None)
 
 
 @kept
