@@ -2,5 +2,5 @@
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import core, stats
-    return {**core.SQL, **stats.SQL}
+    from oracle import core, decision, policy, stats
+    return {**core.SQL, **stats.SQL, **policy.SQL, **decision.SQL}
