@@ -8,14 +8,16 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from tidemark.session import tuned  # noqa: E402
+
 SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+    session = (tuned(SparkSession.builder.master("local[8]")).config("spark.sql.shuffle.partitions", "8")
                .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

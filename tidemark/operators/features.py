@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.functions.numeric import ratio
 from tidemark.operators import series
 
 RETURN_WINDOWS = (1, 5, 10, 20)
@@ -29,50 +28,61 @@ def window_sizes(sizes, *, minimum: int = 1) -> tuple[int, ...]:
     return tuple(sorted(set(values)))
 
 
-def _lag(column: str, rows: int) -> Column:
-    return F.lag(column, rows).over(series.over())
+def _lag(column: str, rows: int) -> str:
+    return f"lag({column}, {rows}) {series.OVER}"
 
 
-def _moments(column: str, rows: int, *, first: int = 0) -> tuple[Column, Column]:
+def _full(rows: int, value: str) -> str:
+    """``value`` where the series already has ``rows`` rows, else undefined."""
+    return f"if(position >= {rows - 1}, {value}, null)"
+
+
+def _ratio(top: str, bottom: str) -> str:
+    """Quotient for positive denominators only."""
+    return f"if({bottom} > 0, ({top}) / {bottom}, null)"
+
+
+def _moments(column: str, rows: int, *, first: int = 0) -> tuple[str, str]:
     """Mean and sample deviation once the window holds ``rows`` defined values.
 
     ``first`` is the position of the column's first defined value.
     """
     w = series.trailing(rows)
-    return (series.full(rows + first, F.avg(column).over(w)),
-            series.full(rows + first, F.stddev_samp(column).over(w)))
+    return _full(rows + first, f"avg({column}) {w}"), _full(rows + first, f"stddev_samp({column}) {w}")
+
+
+def _with(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns given as SQL text; one parsed expression per column keeps planning short."""
+    return frame.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
 def returns(frame: DataFrame, windows=RETURN_WINDOWS) -> DataFrame:
-    return frame.withColumns({
-        f"return_{n}d": ratio(F.col("close"), _lag("close", n)) - 1 for n in window_sizes(windows)})
+    return _with(frame, {f"return_{n}d": _ratio("close", _lag("close", n)) + " - 1" for n in window_sizes(windows)})
 
 
 def locations(frame: DataFrame, windows=LOCATION_WINDOWS) -> DataFrame:
     out = {}
     for n in window_sizes(windows):
         w = series.trailing(n)
-        drawdown = series.full(n, F.col("close") / F.max("close").over(w) - 1)
-        out[f"drawdown_{n}d"] = drawdown
-        out[f"distance_from_low_{n}d"] = series.full(n, F.col("close") / F.min("close").over(w) - 1)
-        out[f"distance_from_high_{n}d"] = drawdown
-    return frame.withColumns(out)
+        out[f"drawdown_{n}d"] = _full(n, f"close / max(close) {w} - 1")
+        out[f"distance_from_low_{n}d"] = _full(n, f"close / min(close) {w} - 1")
+        out[f"distance_from_high_{n}d"] = out[f"drawdown_{n}d"]
+    return _with(frame, out)
 
 
 def zscores(frame: DataFrame, windows=ZSCORE_WINDOWS) -> DataFrame:
     out = {}
     for n in window_sizes(windows, minimum=2):
         mean, deviation = _moments("close", n)
-        out[f"price_zscore_{n}d"] = ratio(F.col("close") - mean, deviation)
-    return frame.withColumns(out)
+        out[f"price_zscore_{n}d"] = _ratio(f"close - {mean}", deviation)
+    return _with(frame, out)
 
 
 def volatility(frame: DataFrame, windows=VOLATILITY_WINDOWS, annualization=fixed.ANNUALIZATION,
                *, prefix: str = "volatility") -> DataFrame:
     """Needs ``return_1d``; the first value appears one row after a full window."""
-    return frame.withColumns({
-        f"{prefix}_{n}d": _moments("return_1d", n, first=1)[1] * sqrt(annualization)
-        for n in window_sizes(windows, minimum=2)})
+    return _with(frame, {f"{prefix}_{n}d": f"{_moments('return_1d', n, first=1)[1]} * sqrt({float(annualization)}D)"
+                         for n in window_sizes(windows, minimum=2)})
 
 
 def volumes(frame: DataFrame, windows=VOLUME_WINDOWS) -> DataFrame:
@@ -80,9 +90,9 @@ def volumes(frame: DataFrame, windows=VOLUME_WINDOWS) -> DataFrame:
     for n in window_sizes(windows, minimum=2):
         mean, deviation = _moments("volume", n)
         out[f"volume_mean_{n}d"] = mean
-        out[f"relative_volume_{n}d"] = ratio(F.col("volume"), mean)
-        out[f"volume_zscore_{n}d"] = ratio(F.col("volume") - mean, deviation)
-    return frame.withColumns(out)
+        out[f"relative_volume_{n}d"] = _ratio("volume", mean)
+        out[f"volume_zscore_{n}d"] = _ratio(f"volume - {mean}", deviation)
+    return _with(frame, out)
 
 
 def wilder_reach(n: int) -> int:
@@ -98,41 +108,30 @@ def wilder(frame: DataFrame, values: dict[str, str], n: int, *, first: int = 1)
     end of the block before; anything older than that weighs nothing in a double.
     """
     if n == 1:
-        return frame.withColumns({out: F.col(x) for out, x in values.items()})
-    keep, reach = 1 - 1 / n, wilder_reach(n)
-    rank = F.col("position") - first + 1
-    seed = series.trailing(n)
-    fed = frame.withColumns({
-        f"_{out}": F.when(rank < n, 0.0).when(rank == n, F.avg(x).over(seed))
-        .otherwise(F.coalesce(F.col(x), F.lit(0.0)) / n) for out, x in values.items()})
-    fed = fed.withColumns({"_block": F.floor(F.col("position") / reach),
-                           "_step": (F.col("position") % reach).cast("double")})
-    grown = F.pow(F.lit(keep), -F.col("_step"))
-    block = (Window.partitionBy("ticker", "segment", "_block").orderBy("position")
-             .rowsBetween(Window.unboundedPreceding, 0))
-    fed = fed.withColumns({
-        f"_{out}": F.pow(F.lit(keep), F.col("_step")) * F.sum(F.col(f"_{out}") * grown).over(block)
-        for out in values})
-    before = Window.partitionBy("ticker", "segment").orderBy("_block").rangeBetween(-1, -1)
-    fed = fed.withColumns({
-        f"_end_{out}": F.max_by(f"_{out}", "position").over(before) for out in values})
-    carried = F.pow(F.lit(keep), F.col("_step") + 1)
-    return fed.withColumns({
-        out: F.when(rank >= n, F.col(f"_{out}") + carried * F.coalesce(F.col(f"_end_{out}"), F.lit(0.0)))
-        for out in values}).drop("_block", "_step", *[f"_{o}" for o in values], *[f"_end_{o}" for o in values])
+        return _with(frame, values)
+    keep, reach, rank = f"{1 - 1 / n!r}D", wilder_reach(n), f"(position - {first - 1})"
+    fed = _with(frame, {
+        f"_{out}": f"case when {rank} < {n} then 0D when {rank} = {n} then avg({x}) {series.trailing(n)} "
+                   f"else coalesce({x}, 0D) / {n} end" for out, x in values.items()})
+    fed = _with(fed, {"_block": f"floor(position / {reach})", "_step": f"cast(position % {reach} as double)"})
+    block = "over (partition by ticker, segment, _block order by position rows unbounded preceding)"
+    fed = _with(fed, {f"_{out}": f"pow({keep}, _step) * sum(_{out} * pow({keep}, -_step)) {block}" for out in values})
+    before = "over (partition by ticker, segment order by _block range between 1 preceding and 1 preceding)"
+    fed = _with(fed, {f"_end_{out}": f"max_by(_{out}, position) {before}" for out in values})
+    return _with(fed, {
+        out: f"if({rank} >= {n}, _{out} + pow({keep}, _step + 1) * coalesce(_end_{out}, 0D), null)" for out in values
+    }).drop("_block", "_step", *[f"_{o}" for o in values], *[f"_end_{o}" for o in values])
 
 
 def wilder_measures(frame: DataFrame, *, rsi: int | None = WILDER_WINDOW,
                     atr: int | None = WILDER_WINDOW) -> DataFrame:
     """``rsi_n``, ``true_range``, ``atr_n`` and ``atr_pct_n``, sharing the smoothing passes."""
-    before = _lag("close", 1)
-    change = F.col("close") - before
-    span = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    frame = frame.withColumns({
-        "_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0)),
-        "true_range": F.when(before.isNotNull(), span)})
-    # A first change is missing, and greatest() would otherwise turn it into a zero.
-    frame = frame.withColumns({c: F.when(F.col("true_range").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
+    frame = _with(frame, {"_before": _lag("close", 1)})
+    # greatest() skips missing operands, so the first row is kept undefined explicitly.
+    frame = _with(frame, {
+        "_gain": "if(_before is not null, greatest(close - _before, 0D), null)",
+        "_loss": "if(_before is not null, greatest(_before - close, 0D), null)",
+        "true_range": "if(_before is not null, greatest(high - low, abs(high - _before), abs(low - _before)), null)"})
     smooth: dict[int, dict[str, str]] = {}
     if rsi is not None:
         smooth.setdefault(rsi, {}).update({"_mean_gain": "_gain", "_mean_loss": "_loss"})
@@ -140,12 +139,12 @@ def wilder_measures(frame: DataFrame, *, rsi: int | None = WILDER_WINDOW,
         smooth.setdefault(atr, {})[f"atr_{atr}"] = "true_range"
     for n, values in smooth.items():
         frame = wilder(frame, values, n)
+    shares = {}
     if rsi is not None:
-        both = F.col("_mean_gain") + F.col("_mean_loss")
-        frame = frame.withColumn(f"rsi_{rsi}", 100 * ratio(F.col("_mean_gain"), both)).drop("_mean_gain", "_mean_loss")
+        shares[f"rsi_{rsi}"] = f"100 * {_ratio('_mean_gain', '(_mean_gain + _mean_loss)')}"
     if atr is not None:
-        frame = frame.withColumn(f"atr_pct_{atr}", ratio(F.col(f"atr_{atr}"), F.col("close")))
-    return frame.drop("_gain", "_loss")
+        shares[f"atr_pct_{atr}"] = _ratio(f"atr_{atr}", "close")
+    return _with(frame, shares).drop("_before", "_gain", "_loss", "_mean_gain", "_mean_loss")
 
 
 def index_context(index: DataFrame, window: int = CONTEXT_WINDOW,
@@ -156,12 +155,11 @@ def index_context(index: DataFrame, window: int = CONTEXT_WINDOW,
     """
     frame = series.whole(index.select(*fixed.BAR_COLUMNS))
     frame = volatility(returns(frame, (1,)), (window,), annualization, prefix="benchmark_volatility")
-    regime = series.trailing(fixed.REGIME_WINDOW)
-    frame = frame.withColumns({
-        f"benchmark_return_{window}d": ratio(F.col("close"), _lag("close", window)) - 1,
-        f"benchmark_drawdown_{window}d": series.full(
-            window, F.col("close") / F.max("close").over(series.trailing(window)) - 1),
-        "benchmark_sma": series.full(fixed.REGIME_WINDOW, F.avg("close").over(regime))})
+    n = fixed.REGIME_WINDOW
+    frame = _with(frame, {
+        f"benchmark_return_{window}d": _ratio("close", _lag("close", window)) + " - 1",
+        f"benchmark_drawdown_{window}d": _full(window, f"close / max(close) {series.trailing(window)} - 1"),
+        "benchmark_sma": _full(n, f"avg(close) {series.trailing(n)}")})
     return frame.select(
         "timestamp", F.col("open").alias("benchmark_open"), F.col("close").alias("benchmark_close"),
         f"benchmark_return_{window}d", f"benchmark_drawdown_{window}d", f"benchmark_volatility_{window}d",
@@ -175,9 +173,9 @@ def with_index(bars: DataFrame, context: DataFrame) -> DataFrame:
 
 def relative(frame: DataFrame, windows=RELATIVE_WINDOWS) -> DataFrame:
     """Series return minus index return between the same two rows of the series."""
-    return frame.withColumns({
-        f"relative_return_{n}d": ratio(F.col("close"), _lag("close", n))
-        - ratio(F.col("benchmark_close"), _lag("benchmark_close", n)) for n in window_sizes(windows)})
+    return _with(frame, {
+        f"relative_return_{n}d": f"{_ratio('close', _lag('close', n))} - {_ratio('benchmark_close', _lag('benchmark_close', n))}"
+        for n in window_sizes(windows)})
 
 
 def add_features(frame: DataFrame, *, with_relative: bool = True) -> DataFrame:
@@ -199,4 +197,4 @@ def build_features(bars: DataFrame, index: DataFrame | None = None) -> DataFrame
 
 
 def drawdown_change(frame: DataFrame, rows: int = 5) -> DataFrame:
-    return frame.withColumn(f"drawdown_change_{rows}", F.col("drawdown_60d") - _lag("drawdown_60d", rows))
+    return _with(frame, {f"drawdown_change_{rows}": f"drawdown_60d - {_lag('drawdown_60d', rows)}"})

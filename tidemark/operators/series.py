@@ -8,10 +8,10 @@ over many tasks, and one shuffle serves every trailing and leading window of a j
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SEGMENT = 2048
+SEGMENT = 1024
 
 
 def with_position(frame: DataFrame, *, series: tuple[str, ...] = ("ticker",),
@@ -59,15 +59,19 @@ def own_rows(frame: DataFrame) -> DataFrame:
     return frame.where("own").drop("segment", "own")
 
 
+# The same window as SQL text; ``trailing`` adds a frame to it.
+OVER = "over (partition by ticker, segment order by position)"
+
+
 def over(series: tuple[str, ...] = ("ticker",)) -> WindowSpec:
     return Window.partitionBy(*series, "segment").orderBy("position")
 
 
-def trailing(rows: int) -> WindowSpec:
+def trailing(rows: int) -> str:
     """The current row and the ``rows - 1`` before it."""
-    return over().rowsBetween(-(rows - 1), 0)
+    return f"{OVER[:-1]} rows between {rows - 1} preceding and current row)"
 
 
-def full(rows: int, value: Column) -> Column:
-    """``value`` where the series already has ``rows`` rows, else undefined."""
-    return F.when(F.col("position") >= rows - 1, value)
+def preceding(rows: int) -> str:
+    """The ``rows`` rows before the current one."""
+    return f"{OVER[:-1]} rows between {rows} preceding and 1 preceding)"

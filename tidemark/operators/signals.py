@@ -9,14 +9,6 @@ from tidemark import fixed
 from tidemark.operators import features, series
 
 
-def _interpolated(ordered: Column, count: Column, quantile: float) -> Column:
-    at = (count - 1) * F.lit(quantile)
-    low = F.floor(at).cast("int")
-    below = F.get(ordered, low)
-    above = F.get(ordered, F.least(low + 1, count - 1))
-    return below + (above - below) * (at - low)
-
-
 def prior_quantiles(frame: DataFrame, wanted: dict[str, tuple[str, float]], *,
                     lookback: int = fixed.LOOKBACK, minimum: int = fixed.MIN_HISTORY) -> DataFrame:
     """Linear quantiles over the previous ``lookback`` rows, the current row left out.
@@ -25,15 +17,16 @@ def prior_quantiles(frame: DataFrame, wanted: dict[str, tuple[str, float]], *,
     ``wanted`` maps an output to its column and quantile. The window's values are sorted
     once per row and dropped before the next operator.
     """
-    prior = series.over().rowsBetween(-lookback, -1)
     columns = sorted({column for column, _ in wanted.values()})
-    frame = frame.withColumns({f"_prior_{c}": F.collect_list(c).over(prior) for c in columns})
-    frame = frame.withColumns({f"_prior_{c}": F.sort_array(f"_prior_{c}") for c in columns})
+    frame = frame.withColumns({f"_{c}": F.expr(f"collect_list({c}) {series.preceding(lookback)}") for c in columns})
+    frame = frame.withColumns({f"_{c}": F.sort_array(f"_{c}") for c in columns})
     out = {}
     for name, (column, quantile) in wanted.items():
-        ordered, count = F.col(f"_prior_{column}"), F.size(f"_prior_{column}")
-        out[name] = F.when(count >= minimum, _interpolated(ordered, count, quantile))
-    return frame.withColumns(out).drop(*[f"_prior_{c}" for c in columns])
+        values, at = f"_{column}", f"((size(_{column}) - 1) * {quantile!r}D)"
+        low = f"get({values}, int(floor({at})))"
+        high = f"get({values}, int(least(floor({at}) + 1, size({values}) - 1)))"
+        out[name] = F.expr(f"if(size({values}) >= {minimum}, {low} + ({high} - {low}) * ({at} - floor({at})), null)")
+    return frame.withColumns(out).drop(*[f"_{c}" for c in columns])
 
 
 def thresholds(frame: DataFrame, *, quantile: float = fixed.QUANTILE, **history) -> DataFrame:
@@ -43,25 +36,23 @@ def thresholds(frame: DataFrame, *, quantile: float = fixed.QUANTILE, **history)
 
 def components(frame: DataFrame) -> DataFrame:
     """One flag per feature at or below its threshold; missing operands give false."""
-    pairs = [(F.col(c), F.col(f"{c}_threshold")) for c in fixed.SIGNAL_FEATURES]
-    flags = {name: F.coalesce(value <= limit, F.lit(False))
+    pairs = [(c, f"{c}_threshold") for c in fixed.SIGNAL_FEATURES]
+    flags = {name: F.expr(f"coalesce({value} <= {limit}, false)")
              for name, (value, limit) in zip(fixed.SIGNAL_COMPONENTS, pairs)}
-    ready = F.lit(True)
-    for value, limit in pairs:
-        ready = ready & value.isNotNull() & limit.isNotNull()
-    return frame.withColumns({**flags, "dip_ready_v1": ready})
+    ready = " and ".join(f"{c} is not null" for pair in pairs for c in pair)
+    return frame.withColumns({**flags, "dip_ready_v1": F.expr(ready)})
 
 
 def conditions(frame: DataFrame, required: int = fixed.REQUIRED_COMPONENTS) -> DataFrame:
-    count = sum((F.col(c).cast("long") for c in fixed.SIGNAL_COMPONENTS), F.lit(0).cast("long"))
-    return (frame.withColumn("dip_component_count", count)
-            .withColumn("dip_condition_v1", F.col("dip_ready_v1") & (F.col("dip_component_count") >= required)))
+    count = " + ".join(f"bigint({c})" for c in fixed.SIGNAL_COMPONENTS)
+    return (frame.withColumn("dip_component_count", F.expr(count))
+            .withColumn("dip_condition_v1", F.expr(f"dip_ready_v1 and dip_component_count >= {required}")))
 
 
 def rising_edges(frame: DataFrame) -> DataFrame:
     """First row of each run of true conditions."""
-    before = F.lag("dip_condition_v1", 1, False).over(series.over())
-    return frame.withColumn("dip_event_v1", F.col("dip_condition_v1") & ~before)
+    return frame.withColumn("dip_event_v1", F.expr(
+        f"dip_condition_v1 and not lag(dip_condition_v1, 1, false) {series.OVER}"))
 
 
 def add_signals(frame: DataFrame, *, quantile: float = fixed.QUANTILE, lookback: int = fixed.LOOKBACK,
