@@ -1,4 +1,4 @@
-"""Reference SQL for the core queries."""
+"""Checking SQL for the core queries."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Reference SQL for decision records."""
+"""Checking SQL for decision records."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Reference SQL for exit-policy research."""
+"""Checking SQL for exit-policy research."""
 
 from __future__ import annotations
 

@@ -1,8 +1,8 @@
-"""Reference SQL for summaries, robustness and diagnosis."""
+"""Checking SQL for summaries, robustness and diagnosis."""
 
 from __future__ import annotations
 
-from oracle.base import COMPONENTS, part, r, rounded, sql
+from oracle.base import COMPONENTS, part, rounded, sql
 from oracle.core import LETTERS, bin_sql
 
 SQL: dict[str, str] = {}

@@ -110,6 +110,16 @@ def test_prior_quantile_ignores_current_and_counts_slots(spark):
     assert [x for (x,) in ordered(out, "AA", "q")] == [None, None, None, 3.0, 3.0, 2.0, 2.0, 2.0, 2.0]
 
 
+def test_signals_from_a_stored_feature_table(spark):
+    index = features.index_context(bars_of(spark, {"ALL": walk(300, 6)}))
+    bars = bars_of(spark, {"AA": walk(300, 5)})
+    want = signals.build_signals(bars, index, lookback=60, minimum=30)
+    stored = want.drop(*[c for c in want.columns if c.startswith("dip_") or c.endswith("_threshold")])
+    got = signals.signals_from_features(stored, lookback=60, minimum=30)
+    columns = ("dip_component_count", "dip_condition_v1", "dip_event_v1")
+    assert ordered(got, "AA", *columns) == ordered(want, "AA", *columns)
+
+
 def test_window_sizes_are_checked():
     assert features.window_sizes([5, 1, 5]) == (1, 5)
     for bad in ([], [0], [True], [1.5]):

@@ -21,6 +21,19 @@ def test_round_trip_replaces_only_given_symbols(spark, tmp_path):
     assert [r.timestamp for r in part.orderBy("timestamp").collect()] == [day(3), day(4), day(5)]
 
 
+def test_ledgers_summaries_and_coverage(spark, tmp_path):
+    bars = bars_of(spark, {"AA": walk(30, 1), "BB": walk(10, 2)})
+    snapshots.write_ledger(bars, str(tmp_path / "ledger"))
+    assert spark.read.parquet(str(tmp_path / "ledger")).exceptAll(bars).count() == 0
+    snapshots.write_summary(bars.select("close"), str(tmp_path / "summary"))
+    back = spark.read.schema("close double").option("header", True).csv(str(tmp_path / "summary"))
+    assert back.exceptAll(bars.select("close")).count() == 0
+    held = bars.groupBy("ticker").agg(F.min("timestamp").alias("saved_start"), F.max("timestamp").alias("saved_end"))
+    asked = spark.createDataFrame([("AA",), ("BB",), ("CC",)], "ticker string")
+    missing = snapshots.uncovered(held, asked, F.lit(day(2)), F.lit(day(20)))
+    assert sorted(r.ticker for r in missing.collect()) == ["BB", "CC"]
+
+
 def test_clean_and_violations(spark):
     raw = spark.createDataFrame([
         ("2024-01-02T00:00:00-05:00", " aa", "1", "3", "1", "2", "10.0"), ("2024-01-02T00:00:00-05:00", "AA ", "1", "3", "1", "2", "10"),

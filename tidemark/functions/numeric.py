@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 EPSILON = 2.220446049250313e-16  # spacing of doubles at 1.0
 
 
-def ratio(top: Column, bottom: Column) -> Column:
-    """Quotient for positive denominators only."""
-    return F.when(bottom > 0, top / bottom)
-
-
 def defined(value: Column) -> Column:
     """Turn NaN from outside into NULL."""
     return F.when(~F.isnan(value), value)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SEGMENT = 1024
+SEGMENT = 2048
 
 
 def with_position(frame: DataFrame, *, series: tuple[str, ...] = ("ticker",),

@@ -10,7 +10,6 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import fixed
 from tidemark.operators import features, signals as signal_ops
 from tidemark.sources import bars as bar_ops
 

@@ -10,7 +10,7 @@ from tidemark.functions import symbols
 from tidemark.functions.numeric import binned, rounded, scaled_barriers, with_costs
 from tidemark.operators import calendar, features, outcomes, paths, series, signals as signal_ops
 from tidemark.plans import market, studies
-from tidemark.sources import bars as bar_ops, quality
+from tidemark.sources import quality
 
 QUERIES = {}
 
