@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from oracle import all_sql
+from tidemark.plans import all_queries
 from tests.conftest import SMALL
 from tools.check import TABLES, compare
 
@@ -22,7 +24,7 @@ def db():
 
 
 def test_every_query_but_the_payload_has_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == {"ticker_payload"}
+    assert set(all_queries()) - set(all_sql()) == {"ticker_payload"}
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 

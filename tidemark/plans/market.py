@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import wraps
 from weakref import WeakKeyDictionary
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features, signals as signal_ops
 from tidemark.sources import bars as bar_ops
+from tidemark.storage import scratch_folder
 
 INDEX = "ALL"
 TICK_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -24,21 +24,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _KEPT: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for intermediate tables.
-
-    Only a local session without the setting, as in tests, gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def kept(build):
     """Write a bar-sized table once and let every later step read it from there.
 
