@@ -7,20 +7,20 @@ the work is done in two passes that both flip at most one bit.
 * Two fingerprints within two bits share a variant of one flipped bit, and whoever shares such a
   variant is within two bits. All who share one are linked to the least of them: no pairs are
   formed and nothing needs verifying.
-* Two fingerprints exactly three bits apart differ in one of three blocks of bits at least. With
-  that block blanked they are within two bits, so they share a variant of the rest. Only parties of
-  different parity that the first pass left in different groups can make a new link, so keys where
-  all parties are of one group or one parity go first; what collides then is verified.
+* Of two fingerprints exactly three bits apart, one half of the bits differs in two or three. With
+  that half blanked they are equal or one bit apart, and then of different parity: those of odd
+  parity emit their variants of one flipped bit, and all emit themselves. What collides and is not
+  of one group after the first pass is verified inside the join.
 
 Emitting all variants within two bits instead (2,081 for each fingerprint) would need no second
-pass, but shuffles over ten times as many rows.
+pass, but shuffles over twenty times as many rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import components, each
@@ -29,7 +29,7 @@ from tidemark.storage import written
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-BLOCKS = ((0, 21), (21, 42), (42, 64))
+HALF = 32
 
 
 def simhash(text: str | None) -> int:
@@ -76,40 +76,34 @@ def groups(prints: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _flips(bits: range | list[int]) -> Column:
-    """The fingerprint and its variants with one of ``bits`` flipped."""
-    masks = [0] + [(1 << b) - (1 << 64 if b == 63 else 0) for b in bits]
-    return F.transform(F.lit(masks), lambda m: m.bitwiseXOR(F.col("fp")))
+def _spread(distinct: DataFrame) -> DataFrame:
+    """Small files would give a few tasks, and variants multiply what each of them holds."""
+    return distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
 
-def _blanked(block: int) -> Column:
-    """The variants outside ``block``, with its bits set to zero."""
-    rest = [b for b in range(64) if not BLOCKS[block][0] <= b < BLOCKS[block][1]]
-    keep = sum(1 << b for b in rest)
-    keep -= 1 << 64 if keep >> 63 else 0
-    return F.transform(_flips(rest), lambda v: F.struct(F.lit(block).alias("block"), v.bitwiseAND(F.lit(keep)).alias("variant")))
+def _flips(value: Column, bits: int) -> Column:
+    """``value`` and its variants with one of the lowest ``bits`` bits flipped."""
+    masks = [0] + [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(bits)]
+    return F.transform(F.lit(masks), lambda m: m.bitwiseXOR(value))
 
 
 def _within_two(distinct: DataFrame) -> DataFrame:
     """Links (a, b) from each fingerprint to the least one it shares a variant with."""
-    met = distinct.select("fp", F.explode(_flips(range(64))).alias("variant"))
-    # Most variants belong to one fingerprint: they go before any rows are gathered.
-    shared = met.groupBy("variant").agg(F.min("fp").alias("b"), F.max("fp").alias("c")).where("b <> c")
-    return met.join(shared, "variant").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
+    met = _spread(distinct).select("fp", F.explode(_flips(F.col("fp"), 64)).alias("variant"))
+    least = F.min("fp").over(Window.partitionBy("variant"))
+    return met.select(F.col("fp").alias("a"), least.alias("b")).where("a <> b").distinct()
 
 
 def _three_apart(grouped: DataFrame) -> DataFrame:
     """Links (a, b) between groups that hold fingerprints three bits apart."""
-    odd = F.bit_count("fp") % 2
-    met = grouped.select("fp", "grp", odd.alias("odd"), F.explode(F.concat(*map(_blanked, range(len(BLOCKS))))).alias("k"))
-    met = met.select("fp", "grp", "odd", "k.*")
-    key = ["block", "variant"]
-    mixed = (met.groupBy(*key).agg(F.min("grp").alias("g"), F.max("grp").alias("h"), F.min("odd").alias("p"), F.max("odd").alias("q"))
-             .where("g <> h and p <> q").select(*key))
-    met = written(met.join(mixed, key), "met")
-    left, right = met.where("odd = 0").alias("l"), met.where("odd = 1").alias("r")
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned("fp", HALF)
+    halves = F.explode(F.array(*(F.struct(F.lit(k).alias("half"), v.alias("bits")) for k, v in enumerate((low, high)))))
+    rows = _spread(grouped).select("fp", "grp", halves.alias("k")).select("fp", "grp", "k.half", "k.bits")
+    variants = F.when(F.bit_count("bits") % 2 == 1, _flips(F.col("bits"), HALF)).otherwise(F.array("bits"))
+    met = rows.select("fp", "grp", "half", F.explode(variants).alias("bits")).alias("l")
+    own = rows.alias("r")
     apart = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp")))
-    return (left.join(right, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in key] + [F.col("l.grp") != F.col("r.grp"), apart <= RADIUS])
+    return (met.join(own, (F.col("l.half") == F.col("r.half")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.grp") != F.col("r.grp")) & (apart <= RADIUS))
             .select(F.col("l.grp").alias("a"), F.col("r.grp").alias("b")).distinct())
 
 
