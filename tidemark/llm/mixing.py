@@ -96,33 +96,36 @@ def mixed(docs: DataFrame, weight: Column, budget: int | float, epochs: int = EP
     number of tokens, or as a float a share of all tokens there are. The prefix holds the documents
     that begin before the leaf's budget is spent, so it ends with the one that crosses it. Documents
     without tokens are in a prefix when they begin before its end. Rows of equal id are ordered by
-    text. Columns of ``docs`` that the result adds are replaced; an empty table gives no rows.
+    a hash of their text. Columns of ``docs`` that the result adds are replaced; an empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("epoch", "n_tokens")]
-    rows = docs.select(F.struct(*names).alias("_row"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(levels)],
-                       weight.cast("long").alias("_weight"), tokens(F.col("text")).alias("n_tokens"), F.col("doc_id").alias("_id"))
-    keys = [f"_k{i}" for i in range(len(levels))]
-    leaves = written(rows.groupBy(*keys).agg(F.max("_weight").alias("weight"), F.sum("n_tokens").alias("tokens")), "leaves")
+    # Columns go under numbers, so that no name can clash and those not asked for can be left out.
+    held = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
+    keys = [f"k{i}" for i in range(len(levels))]
+    rows = docs.select(*held, *[F.col(c).alias(k) for c, k in zip(levels, keys)], weight.cast("long").alias("weight"),
+                       tokens(F.col("text")).alias("n_tokens"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    leaves = written(rows.groupBy(*keys).agg(F.max("weight").alias("weight"), F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     goal = budget if isinstance(budget, int) else int(total * budget)
-    budgets = leaf_budgets(leaves, goal, epochs, tuple(keys)).select(
-        *keys, F.expr("budget div greatest(tokens, 1)").alias("_whole"), (F.col("budget") % F.greatest("tokens", F.lit(1))).alias("_rest"))
-    buckets = max(1024, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # The leaf table has a row for each leaf; its join is left to the session, which broadcasts it if
-    # it is small and splits skewed leaves if it is not.
-    rows = _joined(rows, budgets, keys, "inner")
-    rows = rows.withColumn("_order", order_key(seed, F.col("_whole"), F.col("_id")))
-    rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
-    sums = rows.where("_rest > 0").groupBy(*keys, "_bucket").agg(F.sum("n_tokens").alias("n"), F.max("_rest").alias("rest"))
-    # One row for each leaf and bucket: bounded by the leaves, not by their documents.
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("_bucket"))
-    ends = (sums.withColumn("upto", upto).where("upto - n < rest").groupBy(*keys)
-            .agg(F.max("_bucket").alias("_end"), F.max_by(F.col("rest") - F.col("upto") + F.col("n"), "_bucket").alias("_within")))
+    # A row for each leaf. Written tables have a known size, so a join with them broadcasts them if
+    # they are small, and splits skewed leaves if they are not.
+    budgets = written(leaf_budgets(leaves, goal, epochs, tuple(keys)).select(
+        *keys, F.expr("budget div greatest(tokens, 1)").alias("whole"), (F.col("budget") % F.greatest("tokens", F.lit(1))).alias("rest")), "budgets")
+    buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = _joined(rows.drop("weight"), budgets, keys, "inner").where("whole > 0 or rest > 0")
+    rows = rows.withColumn("order", order_key(seed, F.col("whole"), F.col("id")))
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
+    sums = rows.where("rest > 0").groupBy(*keys, "bucket").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))
+    # One row for each leaf and bucket: as many as the leaves, not as their documents.
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket"))
+    ends = written(sums.withColumn("upto", upto).where("upto - n < rest").groupBy(*keys)
+                   .agg(F.max("bucket").alias("end"), F.max_by(F.col("rest") - F.col("upto") + F.col("n"), "bucket").alias("within")), "ends")
     rows = _joined(rows, ends, keys, "left")
-    chosen = ["_row", "n_tokens"]
-    whole = rows.where("_whole > 0").select(*chosen, F.explode(F.sequence(F.lit(0), F.col("_whole").cast("int") - 1)).alias("epoch"))
-    before = rows.where("_bucket < _end").select(*chosen, F.col("_whole").cast("int").alias("epoch"))
-    order = Window.partitionBy(*keys).orderBy("_order", F.asc_nulls_first("_id"), F.col("_row").getField("text")).rowsBetween(Window.unboundedPreceding, -1)
-    last = (rows.where("_bucket = _end").withColumn("_begin", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-            .where("_begin < _within").select(*chosen, F.col("_whole").cast("int").alias("epoch")))
-    return whole.union(before).union(last).select("_row.*", "epoch", "n_tokens")
+    chosen = [f"c{i}" for i in range(len(names))] + ["n_tokens"]
+    # A document that the prefix takes as well comes once more than there are whole epochs.
+    times = F.col("whole").cast("int") + F.coalesce((F.col("bucket") < F.col("end")).cast("int"), F.lit(0))
+    sure = rows.where(times > 0).select(*chosen, F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"))
+    order = Window.partitionBy(*keys).orderBy("order", F.asc_nulls_first("id"), "tie").rowsBetween(Window.unboundedPreceding, -1)
+    last = (rows.where("bucket = end").withColumn("begin", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+            .where("begin < within").select(*chosen, F.col("whole").cast("int").alias("epoch")))
+    return sure.unionByName(last).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "epoch", "n_tokens")

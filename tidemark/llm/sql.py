@@ -1,3 +1,102 @@
-"""SQL that recomputes the text queries that SQL can express, for checking."""
+"""SQL that recomputes the text queries that SQL can express, for checking.
 
-SQL: dict[str, str] = {}
+The others have no SQL form: XXH64 (op1, op2, op5), a tokenizer (op3) and trained models (op4, op9,
+op10, pipeline) are held against brute force or held-out labels in the tests.
+"""
+
+from __future__ import annotations
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+QUALITY = rf"""
+with docs as (
+  select doc_id, source, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '{WORD}') as words,
+         string_split(coalesce(text, ''), chr(10)) as lines
+  from documents),
+cut as (
+  select doc_id, source, body, unnest(lines) as line, generate_subscripts(lines, 1) as place from docs),
+counted as (
+  select doc_id, source, body, line, place, regexp_extract_all(line, '{WORD}') as own from cut),
+keyed as (
+  select doc_id, source, body, line, place, len(own) as n,
+         translate(array_to_string(own, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from counted where len(own) > 0),
+dup as (
+  select doc_id, count(*) - count(distinct line) as n_dup_lines from keyed group by doc_id),
+hosts as (
+  select source, count(distinct body) as texts from docs group by source),
+common as (
+  select source, key from keyed join hosts using (source) group by source, key, texts
+  having count(distinct body) > 10 and count(distinct body) > 0.002 * texts),
+lost as (
+  select doc_id, sum(n) as lost, count(distinct key) as n_common_lines from keyed join common using (source, key) group by doc_id),
+grams as (
+  select doc_id, i, array_to_string(words[i:i + 7], ' ') as gram
+  from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from docs where len(words) >= 8)),
+twice as (
+  select doc_id, gram from grams group by doc_id, gram having count(*) > 1),
+covered as (
+  select doc_id, count(distinct j) as n_repeat_words
+  from (select doc_id, unnest(range(i, i + 8)) as j from grams join twice using (doc_id, gram)) group by doc_id),
+measured as (
+  select d.doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
+         (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+         coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+         coalesce(n_common_lines, 0)::bigint as n_common_lines, (len(words) - coalesce(lost, 0))::bigint as words_left
+  from docs d left join dup using (doc_id) left join covered using (doc_id) left join lost using (doc_id))
+select *, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and words_left >= 0.3 * n_words as kept
+from measured
+"""
+
+
+def _mixing() -> str:
+    """The tree of domains, languages and sources, level by level, and then each leaf's prefix."""
+    levels = ("domain", "lang", "source")
+    out = rf"""
+with docs as (
+  select doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as n_tokens,
+         'd' || (crc % 4)::bigint as domain,
+         (case lang when 'en' then 4 when 'de' then 3 when 'fr' then 2 else 1 end * (crc % 5 + 1))::bigint as weight
+  from documents join (select distinct source as s, {_crc32("coalesce(source, '')")} as crc from documents) on source is not distinct from s),
+leaves as (
+  select domain, lang, source, max(weight) as w, sum(n_tokens)::bigint as tokens, (sum(n_tokens) * 4)::bigint as cap from docs group by all),
+given0 as (select cast(floor(sum(tokens) * 0.6) as bigint) as given from leaves)"""
+    for n in range(1, len(levels) + 1):
+        path, parent = ", ".join(levels[:n]), ", ".join(levels[:n - 1])
+        part = f"partition by {parent}" if parent else ""
+        join = f"join given{n - 1} using ({parent})" if parent else "cross join given0"
+        out += f""",
+nodes{n} as (
+  select *, coalesce(sum(cap) over ({part} order by cap::double / w, {path} rows between unbounded preceding and 1 preceding), 0) as before,
+         sum(w) over ({part} order by cap::double / w, {path} rows between current row and unbounded following) as remaining
+  from (select {path}, sum(cap)::bigint as cap, sum(w)::bigint as w from leaves group by {path}) {join}),
+full{n} as (
+  select *, min((cap::hugeint * remaining <= greatest(given - before, 0)::hugeint * w)::int)
+              over ({part} order by cap::double / w, {path} rows between unbounded preceding and current row) = 1 as is_full from nodes{n}),
+taken{n} as (
+  select *, coalesce(sum(case when is_full then cap end) over ({part}), 0) as taken,
+         coalesce(sum(case when not is_full then w end) over ({part}), 1) as open from full{n}),
+given{n} as (
+  select {path}, (case when is_full then cap else ((given - taken)::hugeint * w) // open end)::bigint as given from taken{n})"""
+    return out + """,
+plan as (
+  select domain, lang, source, given // greatest(tokens, 1) as whole, given % greatest(tokens, 1) as rest
+  from leaves join given3 using (domain, lang, source)),
+ordered as (
+  select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by md5('42:' || whole || ':' || doc_id), doc_id
+                                         rows between unbounded preceding and 1 preceding), 0) as begin
+  from docs join plan using (domain, lang, source))
+select doc_id, domain, lang, source, unnest(range(0, whole + (begin < rest)::int))::int as epoch, n_tokens from ordered
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a short text: bit by bit, as DuckDB has no function for it."""
+    step = "list_reduce(list_concat([xor(c, b)], range(8)), lambda r, k: case when r % 2 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)"
+    each = f"list_transform(range(1, 2 * length({text}), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::bigint)"
+    folded = f"list_reduce(list_concat([4294967295::bigint], {each}), lambda c, b: {step})"
+    return f"xor({folded}, 4294967295::bigint)"
+
+
+SQL: dict[str, str] = {"op7_mixing": _mixing(), "op8_quality": QUALITY}
