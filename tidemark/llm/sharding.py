@@ -38,7 +38,7 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
     counts = {r[0]: r[1] for r in docs.groupBy(block.alias("block")).count().collect()}
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], shards, seed)
     # Where the pieces of each block end, as one array per block; its size is blocks times shards.
-    ends = table(matrix.cumsum(1).tolist(), "array<array<bigint>>").getItem(F.col("_at.block"))
+    ends = table(matrix.cumsum(1).tolist(), "array<array<bigint>>")[F.col("_at.block")]
     cells = BLOCKS_PER_PARTITION * partitions // shards + 1
     own = docs.select(F.struct(*names).alias("_row"), F.struct(block.alias("block"), _order(key, seed + 1).alias("by"), key.alias("key")).alias("_at"))
     place = F.row_number().over(Window.partitionBy("_at.block").orderBy("_at.by", "_at.key"))
@@ -56,7 +56,7 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
     starts = table([[before.get((s, c), 0) for c in range(cells)] for s in range(shards)], "array<array<bigint>>")
     rank = F.row_number().over(Window.partitionBy("_at.shard", "_at.cell").orderBy("_at.by", "_at.place"))
     own = own.withColumn("_rank", rank)
-    slot = starts.getItem(F.col("_at.shard")).getItem(F.col("_at.cell").cast("int")) + F.col("_rank") - 1
+    slot = starts[F.col("_at.shard")][F.col("_at.cell").cast("int")] + F.col("_rank") - 1
     return own.select(*[F.col("_row").getField(n).alias(n) for n in names], F.col("_at.shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
