@@ -87,6 +87,26 @@ part("rec_wilder", "plainfeat", """
   UNION ALL SELECT r.ticker, p.position, r.y + (p.true_range - r.y) / 20 FROM rec_wilder r JOIN plainfeat p ON p.ticker = r.ticker AND p.position = r.position + 1""")
 SQL["wilder"] = sql("SELECT p.timestamp, p.ticker, " + r('r.y') + " AS atr_20 FROM plainfeat p LEFT JOIN rec_wilder r ON r.ticker = p.ticker AND r.position = p.position",
                     "plainfeat", "rec_wilder")
+part("long_wilder", "plainfeat", """
+  SELECT ticker, CAST(60 AS BIGINT) AS position, avg(true_range) AS tr, avg(gain) AS up, avg(loss) AS down
+  FROM plainfeat WHERE position BETWEEN 1 AND 60 GROUP BY ticker HAVING count(*) = 60
+  UNION ALL SELECT w.ticker, p.position, w.tr + (p.true_range - w.tr) / 60, w.up + (p.gain - w.up) / 60, w.down + (p.loss - w.down) / 60
+  FROM long_wilder w JOIN plainfeat p ON p.ticker = w.ticker AND p.position = w.position + 1""")
+part("long_ctx", "idx", "SELECT timestamp, close / lag(close, 250) OVER (ORDER BY timestamp) - 1 AS benchmark_return_250d FROM idx")
+F1000 = "(PARTITION BY p.ticker ORDER BY p.timestamp ROWS 999 PRECEDING)"
+part("long", "plainfeat long_wilder long_ctx", f"""
+  SELECT p.timestamp, p.ticker, close / lag(close, 250) OVER w - 1 AS return_250d, close / lag(close, 1000) OVER w - 1 AS return_1000d,
+         CASE WHEN p.position >= 999 THEN close / max(close) OVER {F1000} - 1 END AS drawdown_1000d,
+         CASE WHEN p.position >= 999 THEN close / min(close) OVER {F1000} - 1 END AS distance_from_low_1000d,
+         CASE WHEN p.position >= 999 THEN (close - avg(close) OVER {F1000}) / stddev_samp(close) OVER {F1000} END AS price_zscore_1000d,
+         CASE WHEN up + down > 0 THEN 100 * up / (up + down) END AS rsi_60, tr AS atr_60,
+         CASE WHEN p.position >= 1000 THEN stddev_samp(return_1d) OVER {F1000} * sqrt(252.0) END AS volatility_1000d,
+         CASE WHEN p.position >= 999 THEN volume / avg(volume) OVER {F1000} END AS relative_volume_1000d,
+         close / lag(close, 1000) OVER w - benchmark_close / lag(benchmark_close, 1000) OVER w AS relative_return_1000d, benchmark_return_250d
+  FROM plainfeat p LEFT JOIN long_wilder s ON p.ticker = s.ticker AND p.position = s.position LEFT JOIN long_ctx c ON p.timestamp = c.timestamp
+  WINDOW w AS (PARTITION BY p.ticker ORDER BY p.timestamp)""")
+SQL["features_long"] = sql(rounded(KEYS, "return_250d, return_1000d, drawdown_1000d, distance_from_low_1000d, price_zscore_1000d, rsi_60, atr_60, "
+                                   "volatility_1000d, relative_volume_1000d, relative_return_1000d, benchmark_return_250d", "FROM long"), "long")
 SQL["feat_dd_change"] = sql(rounded(KEYS, "drawdown_change_5", """
   FROM (SELECT timestamp, ticker, drawdown_60d - lag(drawdown_60d, 5) OVER (PARTITION BY ticker ORDER BY timestamp) AS drawdown_change_5 FROM plainfeat)"""), "plainfeat")
 part("tercile", "feat", """

@@ -55,7 +55,7 @@ def outcome_summary(source: str, by: str) -> str:
 
 
 part("ev_sum", "ev", outcome_summary("ev", "split, horizon"))
-draws_part("boot_sh", "ev", "split, horizon", "x", 500)
+draws_part("boot_sh", "ev", "split, horizon", "x", 2000)
 SQL["outcome_summary"] = sql(rounded("a.split, a.horizon, " + OUTCOME_COUNTS, f"{OUTCOME_NUMBERS}, {BOOT}",
                                      "FROM ev_sum a LEFT JOIN boot_sh b ON a.split = b.split AND a.horizon = b.horizon"), "ev_sum", "boot_sh")
 SQL["risk_adjusted"] = sql(rounded("ticker, periods", "sharpe, sortino", """
@@ -256,7 +256,7 @@ part("exposure", "freq", """
 SQL["exposure_quantiles"] = sql(rounded("measure, count", "median, q25, q75, minimum, maximum", f"FROM (SELECT measure, {SPREAD} FROM exposure GROUP BY 1)"), "exposure")
 SQL["extremes"] = sql(rounded("ticker, trade_count", "average_return, median_return, win_rate, profit_factor", """
   FROM (SELECT *, row_number() OVER (ORDER BY average_return, ticker) AS a, row_number() OVER (ORDER BY average_return DESC, ticker) AS b
-        FROM tset WHERE grouping = 'trade_ticker_summary' AND mode = 'independent') WHERE a <= 5 OR b <= 5"""), "tset")
+        FROM tset WHERE grouping = 'trade_ticker_summary' AND mode = 'independent' AND average_return IS NOT NULL) WHERE a <= 5 OR b <= 5"""), "tset")
 SQL["ranked_page"] = sql(rounded("mode, timestamp, ticker, status", "net_return",
                                  "FROM (SELECT * FROM fold_trade ORDER BY net_return DESC NULLS LAST, mode, timestamp, ticker LIMIT 25 OFFSET 25)"), "fold_trade")
 SQL["table_diff"] = sql("""

@@ -125,3 +125,36 @@ def test_window_sizes_are_checked():
     for bad in ([], [0], [True], [1.5]):
         with pytest.raises(ValueError):
             features.window_sizes(bad)
+
+
+def test_long_windows_cross_segment_boundaries(spark):
+    prices = walk(3000, 11)
+    built = ordered(features.build_features(bars_of(spark, {"AA": prices}), location_windows=(1000,), return_windows=(1, 1000), rsi_window=60, atr_window=60),
+                    "AA", "drawdown_1000d", "return_1000d", "atr_60")
+    close = [p[3] for p in prices]
+    spans = [max(p[1] - p[2], abs(p[1] - c), abs(p[2] - c)) for p, c in zip(prices[1:], close)]
+    atr = sum(spans[:60]) / 60
+    for i in range(60, 3000):
+        atr = atr + (spans[i - 1] - atr) / 60 if i > 60 else atr
+        drawdown, change, got = built[i]
+        assert got == pytest.approx(atr, rel=1e-12)
+        assert (drawdown is None) == (i < 999) and (change is None) == (i < 1000)
+        if i >= 1000:
+            assert drawdown == pytest.approx(close[i] / max(close[i - 999:i + 1]) - 1, rel=1e-12)
+            assert change == pytest.approx(close[i] / close[i - 1000] - 1, rel=1e-12)
+
+
+def test_a_short_halo_is_refused(spark):
+    frame = series.cut(series.with_position(bars_of(spark, {"AA": walk(50, 1)})), back=20, ahead=0)
+    features.returns(frame, (20,))
+    for family, windows in ((features.returns, (21,)), (features.locations, (22,)), (features.zscores, (22,)), (features.volumes, (22,))):
+        with pytest.raises(ValueError, match="rows back"):
+            family(frame, windows)
+    with pytest.raises(ValueError, match="rows back"):
+        features.wilder_measures(frame)
+
+
+def test_columns_are_not_replaced(spark):
+    bars = bars_of(spark, {"AA": walk(30, 1)})
+    with pytest.raises(ValueError, match="atr_14"):
+        features.build_features(bars.withColumn("atr_14", bars.close))

@@ -57,10 +57,12 @@ def _with(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def returns(frame: DataFrame, windows=RETURN_WINDOWS) -> DataFrame:
+    series.need(frame, max(window_sizes(windows)))
     return _with(frame, {f"return_{n}d": _ratio("close", _lag("close", n)) + " - 1" for n in window_sizes(windows)})
 
 
 def locations(frame: DataFrame, windows=LOCATION_WINDOWS) -> DataFrame:
+    series.need(frame, max(window_sizes(windows)) - 1)
     out = {}
     for n in window_sizes(windows):
         w = series.trailing(n)
@@ -71,6 +73,7 @@ def locations(frame: DataFrame, windows=LOCATION_WINDOWS) -> DataFrame:
 
 
 def zscores(frame: DataFrame, windows=ZSCORE_WINDOWS) -> DataFrame:
+    series.need(frame, max(window_sizes(windows, minimum=2)) - 1)
     out = {}
     for n in window_sizes(windows, minimum=2):
         mean, deviation = _moments("close", n)
@@ -81,11 +84,13 @@ def zscores(frame: DataFrame, windows=ZSCORE_WINDOWS) -> DataFrame:
 def volatility(frame: DataFrame, windows=VOLATILITY_WINDOWS, annualization=fixed.ANNUALIZATION,
                *, prefix: str = "volatility") -> DataFrame:
     """Needs ``return_1d``; the first value appears one row after a full window."""
+    series.need(frame, max(window_sizes(windows, minimum=2)))
     return _with(frame, {f"{prefix}_{n}d": f"{_moments('return_1d', n, first=1)[1]} * sqrt({float(annualization)}D)"
                          for n in window_sizes(windows, minimum=2)})
 
 
 def volumes(frame: DataFrame, windows=VOLUME_WINDOWS) -> DataFrame:
+    series.need(frame, max(window_sizes(windows, minimum=2)) - 1)
     out = {}
     for n in window_sizes(windows, minimum=2):
         mean, deviation = _moments("volume", n)
@@ -107,6 +112,7 @@ def wilder(frame: DataFrame, values: dict[str, str], n: int, *, first: int = 1)
     ``first``. Blocks of ``wilder_reach`` rows are summed in closed form and joined to the
     end of the block before; anything older than that weighs nothing in a double.
     """
+    series.need(frame, 1 if n == 1 else wilder_reach(n) + 1)
     if n == 1:
         return _with(frame, values)
     keep, reach, rank = f"{1 - 1 / n!r}D", wilder_reach(n), f"(position - {first - 1})"
@@ -173,28 +179,74 @@ def with_index(bars: DataFrame, context: DataFrame) -> DataFrame:
 
 def relative(frame: DataFrame, windows=RELATIVE_WINDOWS) -> DataFrame:
     """Series return minus index return between the same two rows of the series."""
+    series.need(frame, max(window_sizes(windows)))
     return _with(frame, {
         f"relative_return_{n}d": f"{_ratio('close', _lag('close', n))} - {_ratio('benchmark_close', _lag('benchmark_close', n))}"
         for n in window_sizes(windows)})
 
 
-def add_features(frame: DataFrame, *, with_relative: bool = True) -> DataFrame:
+def reach_of(*, return_windows=RETURN_WINDOWS, location_windows=LOCATION_WINDOWS, zscore_windows=ZSCORE_WINDOWS,
+             rsi_window=WILDER_WINDOW, atr_window=WILDER_WINDOW, volatility_windows=VOLATILITY_WINDOWS,
+             volume_windows=VOLUME_WINDOWS, relative_windows=RELATIVE_WINDOWS, **others) -> int:
+    """Rows before a row that the measurements of these windows look at."""
+    longest = max((*window_sizes(return_windows), *window_sizes(location_windows), *window_sizes(zscore_windows, minimum=2),
+                   *window_sizes(volatility_windows, minimum=2), *window_sizes(volume_windows, minimum=2),
+                   *window_sizes(relative_windows)))
+    return max(longest, wilder_reach(max(rsi_window, atr_window)) + 1)
+
+
+FEATURE_REACH = reach_of()
+
+
+def add_features(frame: DataFrame, *, return_windows=RETURN_WINDOWS, location_windows=LOCATION_WINDOWS,
+                 zscore_windows=ZSCORE_WINDOWS, rsi_window: int = WILDER_WINDOW, atr_window: int = WILDER_WINDOW,
+                 volatility_windows=VOLATILITY_WINDOWS, volume_windows=VOLUME_WINDOWS,
+                 annualization: float = fixed.ANNUALIZATION, relative_windows=RELATIVE_WINDOWS,
+                 with_relative: bool = True) -> DataFrame:
     """Every family on one cut frame, with one shuffle behind it."""
-    frame = volumes(zscores(locations(returns(frame))))
+    asked = window_sizes(return_windows)
+    window_sizes((rsi_window,), minimum=2)
+    window_sizes((atr_window,))
+    frame = returns(frame, {1, *asked})  # volatility needs returns of one row
+    frame = volumes(zscores(locations(frame, location_windows), zscore_windows), volume_windows)
     if with_relative:
-        frame = relative(frame)
-    return wilder_measures(volatility(frame))
+        frame = relative(frame, relative_windows)
+    frame = wilder_measures(volatility(frame, volatility_windows, annualization), rsi=rsi_window, atr=atr_window)
+    return frame if 1 in asked else frame.drop("return_1d")
 
 
-FEATURE_REACH = max(61, wilder_reach(WILDER_WINDOW) + 1)
+def build_features(bars: DataFrame, index: DataFrame | None = None, *, context_window: int = CONTEXT_WINDOW, **parameters) -> DataFrame:
+    """Bars plus all trailing measurements; parameters as in ``add_features``.
 
-
-def build_features(bars: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Bars plus all trailing measurements."""
-    frame = bars if index is None else with_index(bars, index_context(index))
-    frame = series.cut(series.with_position(frame), back=FEATURE_REACH, ahead=0)
-    return series.own_rows(add_features(frame, with_relative=index is not None))
+    The halo follows from the windows. Columns of ``bars`` that a measurement would replace are
+    refused. Further columns of ``bars`` are kept.
+    """
+    scale = parameters.get("annualization", fixed.ANNUALIZATION)
+    window_sizes((context_window,), minimum=2)
+    if isinstance(scale, bool) or not 0 < scale < float("inf"):
+        raise ValueError("annualization must be positive")
+    if clash := set(bars.columns) & _made(parameters, index is not None, context_window):
+        raise ValueError(f"columns would be replaced: {sorted(clash)}")
+    frame = bars if index is None else with_index(bars, index_context(index, context_window, scale))
+    frame = series.cut(series.with_position(frame), back=reach_of(**parameters), ahead=0)
+    return series.own_rows(add_features(frame, with_relative=index is not None, **parameters))
+
+
+def _made(parameters: dict, with_relative: bool, context_window: int) -> set[str]:
+    """Names of the columns that ``build_features`` adds."""
+    sizes = lambda name, default: window_sizes(parameters.get(name, default))
+    atr = parameters.get("atr_window", WILDER_WINDOW)
+    out = {"true_range", f"rsi_{parameters.get('rsi_window', WILDER_WINDOW)}", f"atr_{atr}", f"atr_pct_{atr}", "position", "length"}
+    out |= {f"return_{n}d" for n in sizes("return_windows", RETURN_WINDOWS)} | {f"price_zscore_{n}d" for n in sizes("zscore_windows", ZSCORE_WINDOWS)}
+    out |= {f"{c}_{n}d" for n in sizes("location_windows", LOCATION_WINDOWS) for c in ("drawdown", "distance_from_low", "distance_from_high")}
+    out |= {f"volatility_{n}d" for n in sizes("volatility_windows", VOLATILITY_WINDOWS)}
+    out |= {f"{c}_{n}d" for n in sizes("volume_windows", VOLUME_WINDOWS) for c in ("volume_mean", "relative_volume", "volume_zscore")}
+    if with_relative:
+        out |= {f"relative_return_{n}d" for n in sizes("relative_windows", RELATIVE_WINDOWS)}
+        out |= {f"benchmark_{c}_{context_window}d" for c in ("return", "drawdown", "volatility")} | {"benchmark_open", "benchmark_close", "benchmark_sma"}
+    return out
 
 
 def drawdown_change(frame: DataFrame, rows: int = 5) -> DataFrame:
+    series.need(frame, 59 + rows)
     return _with(frame, {f"drawdown_change_{rows}": f"drawdown_60d - {_lag('drawdown_60d', rows)}"})

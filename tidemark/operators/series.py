@@ -37,12 +37,27 @@ def with_position(frame: DataFrame, *, series: tuple[str, ...] = ("ticker",),
 
 
 def cut(frame: DataFrame, *, back: int, ahead: int, size: int = SEGMENT) -> DataFrame:
-    """Copy each row into its own segment and into those whose halo it belongs to."""
+    """Copy each row into its own segment and into those whose halo it belongs to.
+
+    How far ``back`` the halo reaches stays with the frame, as metadata of ``segment``.
+    """
     first = F.greatest(F.floor((F.col("position") - ahead) / size), F.lit(0))
     last = F.least(F.floor((F.col("position") + back) / size),
                    F.floor((F.col("length") - 1) / size))
     return (frame.withColumn("segment", F.explode(F.sequence(first, last)))
-            .withColumn("own", F.floor(F.col("position") / size) == F.col("segment")))
+            .withColumn("own", F.floor(F.col("position") / size) == F.col("segment"))
+            .withMetadata("segment", {"back": back}))
+
+
+def need(frame: DataFrame, rows: int) -> None:
+    """Refuse a frame whose segments carry fewer than ``rows`` rows before their own.
+
+    A shorter halo would give windows that look full but miss their oldest rows. Frames of
+    whole series (``whole``) satisfy any need; so does one cut elsewhere, without metadata.
+    """
+    back = frame.schema["segment"].metadata.get("back") if "segment" in frame.columns else None
+    if back is not None and back < rows:
+        raise ValueError(f"these windows reach {rows} rows back, the frame was cut with {back}")
 
 
 def whole(frame: DataFrame, *, series: tuple[str, ...] = ("ticker",), order: str = "timestamp") -> DataFrame:

@@ -108,13 +108,25 @@ def audit_totals(spark, folder):
 
 # Trailing features
 
-def feature_frame(spark, folder) -> DataFrame:
+def feature_frame(spark, folder, back: int = features.FEATURE_REACH) -> DataFrame:
     bars = features.with_index(market.bars(spark, folder), market.context(spark, folder))
-    return series.cut(series.with_position(bars), back=features.FEATURE_REACH, ahead=0)
+    return series.cut(series.with_position(bars), back=back, ahead=0)
 
 
-def _features(spark, folder, step, *columns) -> DataFrame:
-    return series.own_rows(step(feature_frame(spark, folder))).select(*KEYS, *columns)
+def _features(spark, folder, step, *columns, back: int = features.FEATURE_REACH) -> DataFrame:
+    return series.own_rows(step(feature_frame(spark, folder, back))).select(*KEYS, *columns)
+
+
+LONG = {"return_windows": (1, 250, 1000), "location_windows": (250, 1000), "zscore_windows": (1000,), "rsi_window": 60, "atr_window": 60,
+        "volatility_windows": (250, 1000), "volume_windows": (1000,), "relative_windows": (1000,)}
+
+
+@query
+def features_long(spark, folder):
+    """Measurements over windows far longer than the defaults, across segment boundaries."""
+    built = features.build_features(market.bars(spark, folder), market.index(spark, folder), context_window=250, **LONG)
+    return built.select(*KEYS, "return_250d", "return_1000d", "drawdown_1000d", "distance_from_low_1000d", "price_zscore_1000d", "rsi_60",
+                        "atr_60", "volatility_1000d", "relative_volume_1000d", "relative_return_1000d", "benchmark_return_250d")
 
 
 @query
@@ -148,7 +160,7 @@ def wilder(spark, folder):
     """Recursive smoothing of the true range."""
     def step(frame):
         return features.wilder_measures(frame, rsi=None, atr=20)
-    return _features(spark, folder, step, "atr_20")
+    return _features(spark, folder, step, "atr_20", back=features.wilder_reach(20) + 1)
 
 
 @query

@@ -38,7 +38,7 @@ def bootstrap_ci(spark, folder):
 
 @query
 def outcome_summary(spark, folder):
-    return stats.summarize_outcomes(queries_core.forward(spark, folder, "events"), ("split", "horizon"), draws=500)
+    return stats.summarize_outcomes(queries_core.forward(spark, folder, "events"), ("split", "horizon"))
 
 
 @query
@@ -359,7 +359,8 @@ def regime_vs_control(spark, folder):
 @query
 def extremes(spark, folder):
     """Five lowest and five highest symbols by net expectancy, each once."""
-    table = trade_sets(spark, folder).where((F.col("grouping") == "trade_ticker_summary") & (F.col("mode") == "independent"))
+    table = trade_sets(spark, folder).where((F.col("grouping") == "trade_ticker_summary") & (F.col("mode") == "independent")
+                                            & F.col("average_return").isNotNull())
     everyone = Window.partitionBy(F.lit(0))
     ranked = table.withColumns({
         "from_low": F.row_number().over(everyone.orderBy("average_return", "ticker")),
