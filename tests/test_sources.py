@@ -84,6 +84,16 @@ def test_copies_are_ingested_once(spark, tmp_path):
     assert spark.table("unique_bars").count() == 5
 
 
+def test_conflicting_bars_pass_and_are_told_apart(spark, tmp_path):
+    bars = bars_of(spark, {"AA": walk(5, 1)}).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    other = bars.where(F.col("timestamp") == F.lit(day(2)).cast("timestamp")).withColumn("close", F.col("close") + 1)
+    path = str(tmp_path / "in")
+    bars.union(bars).union(other).repartition(2).write.parquet(path)
+    run(jobs.unique_bars(spark.readStream.schema(bars.schema).parquet(path)), "conflicting_bars")
+    kept = spark.createDataFrame(spark.table("conflicting_bars").collect(), bars.schema)
+    assert kept.count() == 6 and jobs.conflicts(kept).count() == 2
+
+
 def test_edges_carry_over_batches(spark, tmp_path):
     path = str(tmp_path / "rows")
     flags = [False, True, True, False, True, True]

@@ -29,8 +29,17 @@ def bar_stream(ticks: DataFrame, *, at: str, series: Column, price: Column, size
 
 
 def unique_bars(bars: DataFrame, *, at: str = "timestamp", late: str = "3 days") -> DataFrame:
-    """Bars ingested once: copies arriving within the watermark are dropped."""
-    return bars.withWatermark(at, late).dropDuplicatesWithinWatermark([at, "ticker"])
+    """Bars ingested once: copies equal in all columns that arrive within the watermark are dropped.
+
+    Bars of one key with different contents all pass; ``conflicts`` tells them apart in the sink.
+    """
+    return bars.withWatermark(at, late).dropDuplicatesWithinWatermark(bars.columns)
+
+
+def conflicts(bars: DataFrame, *, at: str = "timestamp") -> DataFrame:
+    """Bars of a table whose key occurs with more than one content: to be rejected, not chosen from."""
+    several = bars.distinct().groupBy(at, "ticker").count().where("count > 1").drop("count")
+    return bars.join(several, [at, "ticker"], "left_semi")
 
 
 EDGE_SCHEMA = "timestamp timestamp, ticker string, dip_event_v1 boolean, atr double"
