@@ -248,5 +248,5 @@ def _made(parameters: dict, with_relative: bool, context_window: int) -> set[str
 
 
 def drawdown_change(frame: DataFrame, rows: int = 5) -> DataFrame:
-    series.need(frame, 59 + rows)
+    series.need(frame, rows)  # of the drawdown column, which reaches back on its own
     return _with(frame, {f"drawdown_change_{rows}": f"drawdown_60d - {_lag('drawdown_60d', rows)}"})
