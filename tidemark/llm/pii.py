@@ -35,7 +35,7 @@ WINDOW = 96
 STRIDE = 64
 HIDDEN = 12
 SAMPLE = 400
-STEPS = 300
+STEPS = 800
 BATCH = 32
 RATE = 0.02
 SURE = 0.95
@@ -80,61 +80,63 @@ def codes(text: str) -> np.ndarray:
     return np.where(points < 128, points, 128 + (points >= 0x250))
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 @dataclass
 class Tagger:
-    """Parameters: per direction a table of gate inputs by character and recurrent weights, the
-    output layer, CRF transitions and the score of each tag at the start."""
+    """Parameters: for both directions (the first axis) a table of gate inputs by character and
+    recurrent weights, the output layer, CRF transitions and the score of each tag at the start."""
 
     parts: dict[str, np.ndarray]
 
-    def run(self, x: np.ndarray, side: str) -> list[tuple]:
-        """States of one direction over x (windows, characters)."""
-        table, recurrent = self.parts[f"table_{side}"], self.parts[f"recurrent_{side}"]
-        h = c = np.zeros((len(x), HIDDEN))
-        out = []
-        for t in range(x.shape[1]) if side == "f" else reversed(range(x.shape[1])):
-            z = table[x[:, t]] + h @ recurrent
-            i, f, o = (_sigmoid(z[:, k * HIDDEN:(k + 1) * HIDDEN]) for k in range(3))
-            g = np.tanh(z[:, 3 * HIDDEN:])
-            old_h, old_c = h, c
-            c = f * c + i * g
-            h = o * np.tanh(c)
-            out.append((old_h, old_c, i, f, o, g, c, h))
-        return out if side == "f" else out[::-1]
-
-    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, list, list]:
-        forward, backward = self.run(x, "f"), self.run(x, "b")
-        states = np.stack([np.concatenate([a[-1], b[-1]], 1) for a, b in zip(forward, backward)], 1)
-        return states @ self.parts["out"] + self.parts["out_bias"], forward, backward
-
-    def marginals(self, scores: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of tags and, summed over places, of pairs of tags; log of the total weight."""
+    def run(self, x: np.ndarray) -> list[np.ndarray]:
+        """Gates, candidates, cells and states of both directions over x (windows, characters), each
+        by (step, direction, window); the second direction steps from the end to the start."""
+        table, recurrent = self.parts["table"], self.parts["recurrent"]
+        inputs = np.stack([table[0][x.T], table[1][x.T[::-1]]], 1)
+        h = c = np.zeros((2, len(x), HIDDEN), table.dtype)
+        gates, candidates, cells, states = [], [], [], []
+        for z in inputs:
+            z = z + h @ recurrent
+            gate = 1 / (1 + np.exp(-z[..., :3 * HIDDEN]))
+            g = np.tanh(z[..., 3 * HIDDEN:])
+            c = gate[..., HIDDEN:2 * HIDDEN] * c + gate[..., :HIDDEN] * g
+            h = gate[..., 2 * HIDDEN:] * np.tanh(c)
+            for kept, value in zip((gates, candidates, cells, states), (gate, g, c, h)):
+                kept.append(value)
+        return [np.stack(v) for v in (gates, candidates, cells, states)]
+
+    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Scores of tags (window, character, tag), the states behind them, and all of ``run``."""
+        trace = self.run(x)
+        both = np.concatenate([trace[3][:, 0], trace[3][::-1, 1]], 2).transpose(1, 0, 2)
+        return both @ self.parts["out"] + self.parts["out_bias"], both, trace
+
+    def marginals(self, scores: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of tags and, summed over places, of pairs of tags.
+
+        Forward and backward weights are scaled to a sum of one at each place.
+        """
         n, T, K = scores.shape
-        trans = self.parts["transitions"]
-        alpha, beta = np.zeros((n, T, K)), np.zeros((n, T, K))
-        alpha[:, 0] = scores[:, 0] + self.parts["start"]
+        trans = np.exp(self.parts["transitions"])
+        weights = np.exp(scores - scores.max(2, keepdims=True))
+        ahead, behind = np.ones_like(weights), np.ones_like(weights)
+        first = weights[:, 0] * np.exp(self.parts["start"])
+        ahead[:, 0] = first / first.sum(1, keepdims=True)
+        live = np.arange(T)[None] < length[:, None]
         for t in range(1, T):
-            step = _logsum(alpha[:, t - 1][:, :, None] + trans, 1) + scores[:, t]
-            alpha[:, t] = np.where((t < length)[:, None], step, alpha[:, t - 1])
-        total = _logsum(alpha[:, -1], 1)
+            step = (ahead[:, t - 1] @ trans) * weights[:, t]
+            ahead[:, t] = np.where(live[:, t, None], step / step.sum(1, keepdims=True), ahead[:, t - 1])
         for t in range(T - 2, -1, -1):
-            step = _logsum(trans + (scores[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where((t + 1 < length)[:, None], step, 0)
-        pairs = np.zeros((K, K))
-        for t in range(1, T):
-            live = t < length
-            if live.any():
-                p = alpha[live, t - 1][:, :, None] + trans + (scores[live, t] + beta[live, t])[:, None, :] - total[live][:, None, None]
-                pairs += np.exp(p).sum(0)
-        return np.exp(alpha + beta - total[:, None, None]), pairs, total
+            step = (weights[:, t + 1] * behind[:, t + 1]) @ trans.T
+            behind[:, t] = np.where(live[:, t + 1, None], step / step.sum(1, keepdims=True), 1)
+        both = ahead * behind
+        before, after = ahead[:, :-1], weights[:, 1:] * behind[:, 1:]
+        before = before * (live[:, 1:] / ((before @ trans) * after).sum(2))[:, :, None]
+        pairs = trans * (before.reshape(-1, K).T @ after.reshape(-1, K))
+        return both / both.sum(2, keepdims=True), pairs
 
     def decode(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Most likely tags of each window, and the probability of each tag chosen."""
-        scores, _, _ = self.emissions(x)
+        scores = self.emissions(x)[0]
         n, T, K = scores.shape
         trans = self.parts["transitions"]
         best, back = scores[:, 0] + self.parts["start"], np.zeros((n, T, K), np.int64)
@@ -150,18 +152,12 @@ class Tagger:
         return tags, sure
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 def fitted(texts: list[str], spans: list[list[Span]], seed: int = SEED) -> Tagger:
     """Trained on windows of labelled texts by Adam on the CRF's log likelihood."""
     rng = np.random.default_rng(seed)
-    draw = lambda *shape, scale=0.2: rng.normal(0, scale, shape)
-    parts = {"out": draw(2 * HIDDEN, TAGS), "out_bias": np.zeros(TAGS), "transitions": draw(TAGS, TAGS, scale=0.05), "start": np.zeros(TAGS)}
-    for side in "fb":
-        parts[f"table_{side}"], parts[f"recurrent_{side}"] = draw(130, 4 * HIDDEN, scale=0.5), draw(HIDDEN, 4 * HIDDEN)
+    draw = lambda *shape, scale=0.2: rng.normal(0, scale, shape).astype(np.float32)
+    parts = {"out": draw(2 * HIDDEN, TAGS), "out_bias": np.zeros(TAGS, np.float32), "transitions": draw(TAGS, TAGS, scale=0.05), "start": np.zeros(TAGS, np.float32)}
+    parts["table"], parts["recurrent"] = draw(2, 130, 4 * HIDDEN, scale=0.5), draw(2, HIDDEN, 4 * HIDDEN)
     model = Tagger(parts)
     windows = []
     for text, own in zip(texts, spans):
@@ -193,32 +189,39 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _gradients(model: Tagger, x: np.ndarray, length: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:
     parts, n = model.parts, len(x)
-    scores, forward, backward = model.emissions(x)
+    scores, states, (gates, candidates, cells, hidden) = model.emissions(x)
     live = np.arange(WINDOW)[None] < length[:, None]
-    probability, pairs, _ = model.marginals(scores, length)
-    gold = np.eye(TAGS)[tags]
+    probability, pairs = model.marginals(scores, length)
+    gold = np.eye(TAGS, dtype=scores.dtype)[tags]
     by_score = (probability - gold) * live[:, :, None] / n
-    grads = {k: np.zeros_like(v) for k, v in parts.items()}
     seen = np.zeros((TAGS, TAGS))
     both = live[:, 1:]
     np.add.at(seen, (tags[:, :-1][both], tags[:, 1:][both]), 1)
-    grads["transitions"], grads["start"] = (pairs - seen) / n, (probability[:, 0] - gold[:, 0]).sum(0) / n
-    states = np.stack([np.concatenate([a[-1], b[-1]], 1) for a, b in zip(forward, backward)], 1)
-    grads["out"] = np.einsum("nth,ntk->hk", states, by_score)
-    grads["out_bias"] = by_score.sum((0, 1))
-    by_state = by_score @ parts["out"].T
-    for side, run, cols in (("f", forward, slice(0, HIDDEN)), ("b", backward, slice(HIDDEN, None))):
-        recurrent = parts[f"recurrent_{side}"]
-        dh = dc = np.zeros((n, HIDDEN))
-        for t in reversed(range(WINDOW)) if side == "f" else range(WINDOW):
-            old_h, old_c, i, f, o, g, c, _ = run[t]
-            dh = dh + by_state[:, t, cols]
-            squashed = np.tanh(c)
-            dc = dc + dh * o * (1 - squashed ** 2)
-            z = np.concatenate([dc * g * i * (1 - i), dc * old_c * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - g ** 2)], 1)
-            np.add.at(grads[f"table_{side}"], x[:, t], z)
-            grads[f"recurrent_{side}"] += old_h.T @ z
-            dh, dc = z @ recurrent.T, dc * f
+    grads = {"transitions": (pairs - seen) / n, "start": (probability[:, 0] - gold[:, 0]).sum(0) / n,
+             "out": states.reshape(-1, 2 * HIDDEN).T @ by_score.reshape(-1, TAGS), "out_bias": by_score.sum((0, 1))}
+    by_state = (by_score @ parts["out"].T).transpose(1, 0, 2)
+    by_state = np.stack([by_state[..., :HIDDEN], by_state[::-1, :, HIDDEN:]], 1)
+    i, f, o = (gates[..., k * HIDDEN:(k + 1) * HIDDEN] for k in range(3))
+    squashed = np.tanh(cells)
+    none = np.zeros_like(cells[:1])
+    old_c, old_h = np.concatenate([none, cells[:-1]]), np.concatenate([none, hidden[:-1]])
+    # What a change of a cell or of a state does to the four gate inputs, for all steps at once.
+    by_cell = np.concatenate([candidates * i * (1 - i), old_c * f * (1 - f), none.repeat(WINDOW, 0), i * (1 - candidates ** 2)], 3)
+    by_gate, through = squashed * o * (1 - o), o * (1 - squashed ** 2)
+    back = parts["recurrent"].transpose(0, 2, 1)
+    dh = dc = none[0]
+    by_input = np.empty_like(by_cell)
+    for t in reversed(range(WINDOW)):
+        dh = dh + by_state[t]
+        dc = dc + dh * through[t]
+        z = np.concatenate([dc] * 4, 2) * by_cell[t]
+        z[..., 2 * HIDDEN:3 * HIDDEN] = dh * by_gate[t]
+        by_input[t] = z
+        dh, dc = z @ back, dc * f[t]
+    by_input = by_input.transpose(1, 0, 2, 3).reshape(2, -1, 4 * HIDDEN)
+    grads["recurrent"] = old_h.transpose(1, 3, 0, 2).reshape(2, HIDDEN, -1) @ by_input
+    marks = np.eye(parts["table"].shape[1], dtype=by_input.dtype)
+    grads["table"] = np.stack([marks[v.ravel()].T @ by_input[d] for d, v in enumerate((x.T, x.T[::-1]))])
     return grads
 
 
@@ -238,37 +241,41 @@ def added_spans(model: Tagger, texts: list[str], base: list[list[Span]]) -> list
     if not places:
         return out
     x = {i: codes(texts[i]) for i, _ in places}
-    merged: dict[int, dict[int, tuple[int, int, float]]] = {}
+    # How deep inside a window each character was read, its tag and the probability of that tag.
+    merged = {i: (np.full(len(v), -1), np.zeros(len(v), np.int64), np.zeros(len(v))) for i, v in x.items()}
     for k in range(0, len(places), 256):
         some = places[k:k + 256]
         rows, length = _padded([x[i][a:a + WINDOW] for i, a in some])
         tags, sure = model.decode(rows, length)
         for (i, a), own, p, n in zip(some, tags, sure, length.tolist()):
-            for j in np.flatnonzero(own[:n]).tolist() + np.flatnonzero(own[:n] == 0).tolist():
-                depth = min(j if a else WINDOW, n - 1 - j if a + n < len(x[i]) else WINDOW)
-                at = merged.setdefault(i, {})
-                if a + j not in at or depth > at[a + j][0]:
-                    at[a + j] = (depth, int(own[j]), float(p[j]))
-    for i, at in merged.items():
-        taken = [(s, e) for _, s, e in base[i]]
-        start = None
-        for j in sorted(at) + [len(texts[i]) + 1]:
-            _, tag, _ = at.get(j, (0, 0, 0.0))
-            if start is not None and (tag == 0 or tag % 2 == 1 or (tag + 1) // 2 != (at[start][1] + 1) // 2 or j - 1 not in at):
-                end = max(k for k in range(start, j) if k in at) + 1
-                kind = KINDS[(at[start][1] - 1) // 2]
-                if np.mean([at[k][2] for k in range(start, end)]) >= SURE and _plausible(kind, texts[i][start:end]) and not any(s < end and start < e for s, e in taken):
-                    out[i].append((kind, start, end))
-                start = None
-            if tag and start is None:
-                start = j
+            j = np.arange(n)
+            whole = np.full(n, WINDOW)  # where the window ends with the text
+            depth = np.minimum(j if a else whole, n - 1 - j if a + n < len(x[i]) else whole)
+            better = depth > merged[i][0][a:a + n]
+            for kept, value in zip(merged[i], (depth, own[:n], p[:n])):
+                kept[a:a + n][better] = value[better]
+    for i, (_, tag, p) in merged.items():
+        kind = np.r_[0, (tag + 1) // 2, 0]
+        begins = (kind[1:-1] > 0) & ((tag % 2 == 1) | (kind[:-2] != kind[1:-1]))
+        ends = (kind[1:-1] > 0) & (np.r_[begins[1:], False] | (kind[2:] != kind[1:-1]))
+        for start, last in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(ends).tolist()):
+            name, end = KINDS[kind[start + 1] - 1], last + 1
+            if p[start:end].mean() >= SURE and _plausible(name, texts[i][start:end]) and not any(s < end and start < e for _, s, e in base[i]):
+                out[i].append((name, start, end))
     return out
 
 
 def _plausible(kind: str, text: str) -> bool:
-    """What a span of a kind has to have whatever its form."""
-    digits = sum(map(str.isdigit, text))
-    return {"email": "@" in text and "." in text, "ip": 4 <= digits <= 12, "card": 12 <= digits <= 19, "phone": 9 <= digits <= 15}[kind]
+    """What a span of a kind has to have whatever its form: the checks that base spans pass as well."""
+    digits = "".join(re.findall("[0-9]", text))
+    if kind == "email":
+        return "@" in text[1:-1] and "." in text
+    if kind == "ip":
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and _luhn(digits)
+    return 9 <= len(digits) <= 15
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
