@@ -407,3 +407,14 @@ def test_mixing_odd_and_empty_tables(odd_documents, no_documents):
             F.col("domain").alias("a"), F.col("lang").alias("b"), F.col("source").alias("c")),
         F.col("domain").eqNullSafe(F.col("a")) & F.col("lang").eqNullSafe(F.col("b")) & F.col("source").eqNullSafe(F.col("c"))).count()
     assert mixing.mixed(queries.with_domain(no_documents), F.lit(1), 0.5).collect() == []
+
+
+def test_toxic_rows_go_one_by_one(spark):
+    frame = labelled(spark)
+    bad = frame.where("toxic = 1").orderBy("doc_id").first()["text"]
+    good = frame.where("toxic = 0").orderBy("doc_id").first()["text"]
+    rows = spark.createDataFrame([(None, bad, "en"), (None, good, None), (1007, bad, "en"), (1007, good, "en"), (1008, None, "en"), (1009, "", None)],
+                                 "doc_id long, text string, lang string")
+    kept = toxicity.without_toxic(frame.drop("toxic").unionByName(rows), frame.select("doc_id", "toxic"))
+    own = kept.where("doc_id is null or doc_id > 1000").select("doc_id", "text").collect()
+    assert sorted(map(str, own)) == sorted(map(str, [r for r in rows.select("doc_id", "text").collect() if r["text"] != bad]))
