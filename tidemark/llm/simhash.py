@@ -66,14 +66,19 @@ def groups(prints: DataFrame) -> DataFrame:
     never name a component unless all its ids are null. An empty table gives an empty result.
     """
     prints = written(prints, "prints")
+    grouped = _linked(prints)
+    named = grouped.join(grouped.groupBy("grp").agg(F.min("least").alias("component_id")), "grp").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _linked(prints: DataFrame) -> DataFrame:
+    """(fp, least, grp) for each fingerprint: its least id and the least fingerprint of its component."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     close = components(_within_two(distinct.select("fp")))
     grouped = written(distinct.join(close, F.col("fp") == F.col("node"), "left")
                       .select("fp", "least", F.coalesce("component", "fp").alias("grp")), "groups")
     joined = components(_three_apart(grouped.select("fp", "grp")))
-    grouped = grouped.join(joined, F.col("grp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "grp").alias("grp"))
-    named = grouped.join(grouped.groupBy("grp").agg(F.min("least").alias("component_id")), "grp").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped.join(joined, F.col("grp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "grp").alias("grp"))
 
 
 def _spread(distinct: DataFrame) -> DataFrame:
@@ -110,14 +115,22 @@ def _three_apart(grouped: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the one with the least id, of equal ids the least text.
 
-    Documents with a null id stay only if all ids of their group are null, then one of them.
+    Documents with a null id stay only if all ids of their group are null, then one of them. Rows
+    are told apart by id and text, so unlike texts that share an id, or have none, all stay.
     """
-    found = groups(fingerprints(docs)).select("component_id", F.col("doc_id").alias("_id"))
-    least = found.where("component_id = _id").select("_id").distinct()
-    kept = docs.join(least, F.col("doc_id") == F.col("_id"), "left_semi")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    single = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti")
-    # Only rows of an id that occurs again are compared, as a partial minimum of the whole row.
+    rows = docs.withColumn("_content", F.md5("text"))
+    prints = written(each(rows.select("doc_id", "text", "_content"), lambda: lambda doc_id, text, content: (doc_id, content, simhash(text)),
+                          "doc_id bigint, _content string, fp bigint"), "prints")
+    found = prints.join(_linked(prints).select("fp", "grp"), "fp").select("grp", "doc_id", "_content")
+    each_id = found.groupBy("grp", "doc_id").agg(F.count("*").alias("n"), F.min("_content").alias("_content"))
+    least = each_id.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "_content")).alias("l"))
+    least = written(least.select("grp", F.col("l.doc_id").alias("_id"), "l.n", F.col("l._content").alias("_key")), "survivors")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_content").eqNullSafe(F.col("_key"))
+    single = rows.join(least.where("n = 1").select("_id", "_key"), same, "left_semi").select(*docs.columns)
+    # Only rows whose id occurs again in the group are compared, as a partial minimum of the whole row.
+    often = least.where("n > 1").select(F.col("grp").alias("_grp"), "_id")
+    again = found.join(often, (F.col("grp") == F.col("_grp")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    again = again.select("grp", "_id", F.col("_content").alias("_key")).distinct()
     names = [F.col(c) for c in docs.columns]
-    again = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", F.struct(*names).alias("_row"))).alias("_least"))
+    again = rows.join(again, same).groupBy("grp").agg(F.min(F.struct("text", F.struct(*names).alias("_row"))).alias("_least"))
     return single.unionByName(again.select("_least._row.*"))
