@@ -332,6 +332,23 @@ def test_common_lines_go_and_copies_count_once(spark):
     assert kept[3] == f"{own} 3 only here" and kept[201].endswith("everywhere")
 
 
+def test_repeated_rows_and_null_ids_are_judged_one_by_one(spark):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join("".join(rng.choices("etaoinshr", k=8)) for _ in range(n))
+    common = fresh(18)
+    rows = [(i, f"{fresh(32)}\n{common}", "h") for i in range(12)]
+    good = [f"{fresh(32)}\n{common}" for _ in range(3)]
+    odd = [(100, good[0], "h")] * 3 + [(None, good[1], "h")] * 2 + [(None, "too short", "h"), (101, "too short", "h"), (101, good[2], "h"), (None, good[1], None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, source string")
+    judged = quality.judged(docs).collect()
+    assert len(judged) == len(rows + odd)
+    want = [(50, 32, 1, True)] * 18 + [(50, 50, 0, True)] + [(2, 2, 0, False)] * 2
+    assert sorted((r["n_words"], r["words_left"], r["n_common_lines"], r["kept"]) for r in judged) == sorted(want)
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in quality.cleaned(docs).collect()]
+    cut = [(d, t if s is None else t.split("\n")[0], s) for d, t, s in rows + odd if t != "too short"]
+    assert sorted(kept, key=str) == sorted(cut, key=str)
+
+
 # Classifiers
 
 def labelled(spark, n=400):

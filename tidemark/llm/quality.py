@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import each
@@ -99,24 +99,32 @@ def common_lines(measures: DataFrame) -> DataFrame:
             .select("host", "line"))
 
 
+def _row() -> Column:
+    """One number for id, text and host, nulls marked: repeated rows share it, others do not."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "content", F.col("host").isNull(), "host")
+
+
 def _in_common(measures: DataFrame) -> DataFrame:
-    """(row, line, n) of the common lines in each document; ``row`` stands for id, text and host."""
+    """(row, line, n) of the common lines in each document, once for repeated rows."""
     common = common_lines(measures).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
-    lines = measures.select(F.xxhash64("doc_id", "content", "host").alias("row"), "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
-    return lines.join(common, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).select("row", "line", "n")
+    lines = measures.select(_row().alias("row"), "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
+    return lines.join(common, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).select("row", "line", "n").distinct()
 
 
 def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row for each document with its measures, the words that stay, and whether it is kept.
 
-    Null and empty texts have no words and fail the base rules. Equal ids are judged as one
-    document with all their lines. An empty table gives an empty result.
+    Null and empty texts have no words and fail the base rules. Rows that share an id, or have
+    none, are judged one by one. An empty table gives an empty result.
     """
-    measures = written(measured(docs, host), "measures")
+    return _judged(written(measured(docs, host), "measures")).drop("row")
+
+
+def _judged(measures: DataFrame) -> DataFrame:
     lost = _in_common(measures).groupBy("row").agg(F.sum("n").alias("lost"), F.count("*").alias("n_common_lines"))
-    out = measures.drop("lines").withColumn("row", F.xxhash64("doc_id", "content", "host")).join(lost, "row", "left")
+    out = measures.drop("lines").withColumn("row", _row()).join(lost, "row", "left")
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return out.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       F.coalesce("n_common_lines", F.lit(0)).alias("n_common_lines"), left.alias("words_left"),
                       (~F.col("base_failed") & (left >= MIN_LEFT * F.col("n_words"))).alias("kept"))
 
@@ -128,9 +136,9 @@ def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     measures = written(measured(docs, host), "measures")
     lines = _in_common(measures).groupBy("row").agg(F.collect_set("line").alias("common"))  # of one document
-    kept = judged(docs, host).where("kept").select("doc_id").distinct()
-    rows = _told_apart(docs, host).withColumn("row", F.xxhash64("doc_id", "content", "host")).join(kept, "doc_id", "left_semi")
-    rows = rows.join(lines, "row", "left").drop("row", "content")
+    kept = _judged(measures).where("kept").select(F.col("row").alias("_row")).distinct()
+    rows = _told_apart(docs, host).withColumn("_row", _row()).join(kept, "_row", "left_semi")
+    rows = rows.join(lines.withColumnRenamed("row", "_row"), "_row", "left").drop("_row", "content")
     names = [f.name for f in rows.schema if f.name not in ("common", "text")]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("common", "text"))
 
