@@ -270,6 +270,16 @@ def test_turns_seen_as_mail(spark):
     assert right > 0.95 * sum(r["sent"] > 0 for r in got)
 
 
+def test_missing_parents_and_shared_passages(spark):
+    talks = [["what about alpha", "ok", "thanks for alpha"], ["what about beta", "ok", "thanks for beta"],
+             ["what about gamma", None, "gamma again"], ["what about delta", " ", "delta again"]]
+    rows = [(c, t, "user", x) for c, talk in enumerate(talks) for t, x in enumerate(talk)]
+    got = quotes.conversations(quotes.as_mail(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    parents = {r["message"]: r["parent"] for r in got}
+    assert all(parents[f"m-{c}-2"] == f"m-{c}-{0 if c > 1 else 1}" for c in range(4))
+    assert all(r["conversation"] == f"m-{r['message'].split('-')[1]}-0" for r in got)
+
+
 # Mixing
 
 def test_budgets_by_filling_step_by_step(spark):

@@ -1,16 +1,19 @@
 """Conversations out of messages that quote each other.
 
 A message's lines carry quote marks; their number is the nesting level. Each passage (a line without
-its marks, normalised) is hashed. Passages written in a message, at level 0, make an index from
-hash to the earliest message that wrote it: one row for each hash, so a passage that very many
-messages share joins once for each quote and never pairs messages. A message replies to the one that
-most of its first-level quotes come from. Chains of replies are followed by doubling, which takes as
+its marks, normalised) is hashed. So are all lines of one level together, alone and with all lines
+of the next level: what a message writes and quotes is a level deeper in the replies to it. What is
+written in a message, at level 0, makes an index from hash to the earliest message that wrote it:
+one row for each hash, so a passage that very many messages share joins once for each quote and
+never pairs messages. A message replies to the one whose text and quotes it quotes, else to the one
+whose whole text, else to the one that most of its first-level quotes come from; where nobody is
+known to have written these, to the one that the next level gives in the same way. Chains of replies are followed by doubling, which takes as
 many rounds as the logarithm of the longest chain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.storage import dropped, written
@@ -33,19 +36,36 @@ def passages(messages: DataFrame) -> DataFrame:
     return lines.select("message", "sent", "place", level.alias("level"), body.alias("body"), F.when(plain != "", F.xxhash64(plain)).alias("key"))
 
 
+def _marked(lines: DataFrame) -> DataFrame:
+    """(message, sent, level, kind, key, n): single lines, all of a level, and these with the next level."""
+    lines = lines.where("key is not null")
+    single = lines.groupBy("message", "sent", "level", "key").agg(F.count("*").alias("n"))
+    whole = lines.groupBy("message", "sent", "level").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("keys"))
+    whole = whole.select("message", "sent", "level", F.xxhash64(F.transform("keys", lambda x: x["key"])).alias("block"))
+    deeper = F.lead(F.struct("level", "block")).over(Window.partitionBy("message").orderBy("level"))  # levels of one message
+    whole = whole.withColumn("deeper", deeper).withColumn("next", F.when(F.col("deeper.level") == F.col("level") + 1, F.col("deeper.block")))
+    keys = F.array(F.struct(F.lit(1).alias("kind"), F.col("block").alias("key")),
+                   F.struct(F.lit(2).alias("kind"), F.xxhash64("block", F.col("next").isNull(), "next").alias("key")))
+    whole = whole.select("message", "sent", "level", F.explode(keys).alias("k")).select("message", "sent", "level", "k.kind", "k.key", F.lit(1).alias("n"))
+    return single.select("message", "sent", "level", F.lit(0).alias("kind"), "key", "n").union(whole)
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """(message, sent, parent, text): whom each message replies to (null: nobody known), without quotes.
 
     Only earlier messages can be replied to (by ``sent``, then ``message``), so there are no
-    cycles. Among equally often quoted ones the latest is taken. Messages without level-0 lines
+    cycles. Among equally often quoted ones the latest is taken. Deeper levels count only where the
+    levels above give nobody. Messages without level-0 lines
     have an empty text, those with a null text too.
     """
     lines = written(passages(messages), "passages")
     at = lambda: F.struct("sent", "message")
-    origin = lines.where("level = 0 and key is not null").groupBy("key").agg(F.min(at()).alias("origin"))
-    quoted = lines.where("level = 1 and key is not null").groupBy("message", "sent", "key").agg(F.count("*").alias("n"))
-    votes = quoted.join(origin, "key").where(F.col("origin") < at()).groupBy("message", "origin").agg(F.sum("n").alias("n"))
-    parent = votes.groupBy("message").agg(F.max(F.struct("n", "origin")).getField("origin").getField("message").alias("parent"))
+    marked = written(_marked(lines), "marked")
+    origin = marked.where("level = 0").groupBy("kind", "key").agg(F.min(at()).alias("origin"))
+    quoted = marked.where("level > 0").join(origin, ["kind", "key"]).where(F.col("origin") < at())
+    votes = quoted.groupBy("message", "level", "kind", "origin").agg(F.sum("n").alias("n"))
+    best = F.max(F.struct(-F.col("level"), "kind", "n", "origin"))
+    parent = votes.groupBy("message").agg(best.getField("origin").getField("message").alias("parent"))
     own = lines.where("level = 0").groupBy("message").agg(F.array_sort(F.collect_list(F.struct("place", "body"))).alias("lines"))
     own = own.select("message", F.trim(F.array_join(F.transform("lines", lambda x: x["body"]), "\n")).alias("text"))
     return (messages.select("message", "sent").join(parent, "message", "left").join(own, "message", "left")
