@@ -280,6 +280,17 @@ def test_missing_parents_and_shared_passages(spark):
     assert all(r["conversation"] == f"m-{r['message'].split('-')[1]}-0" for r in got)
 
 
+def test_null_and_repeated_turns_are_messages_of_their_own(spark):
+    rows = [(None, 3, "user", "one without conversation"), (None, 3, "user", "another without"), (3, None, "user", "no number"), (3, None, "user", None),
+            (5, 0, "user", "asked"), (5, 1, "assistant", "first answer"), (5, 1, "assistant", "second answer"), (5, 1, "tool", "second answer"),
+            (5, 0, "user", "asked"), (None, None, None, None), (None, None, None, "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.conversations(quotes.as_mail(turns)).collect()
+    assert len(got) == len({r["message"] for r in got}) == len(set(rows))
+    assert sorted(r["text"] for r in got) == sorted(r[3] or "" for r in set(rows))
+    assert [r["parent"] for r in got if "answer" in r["text"]] == ["m-5-0"] * 3
+
+
 # Mixing
 
 def test_budgets_by_filling_step_by_step(spark):

@@ -100,13 +100,21 @@ def as_mail(turns: DataFrame) -> DataFrame:
     """Messages from the turns of conversations, each quoting the turn before it as mail does.
 
     A turn quotes the whole turn before at level 1 and the one before that at level 2. The first
-    turn quotes nothing. Turns with a null conversation or number stand alone.
+    turn quotes nothing. Turns with a null conversation or number stand alone. Rows equal in all of
+    ``conv_id``, ``turn``, ``role`` and ``text`` are one message, all others messages of their own:
+    where conversation and number do not tell them apart, a hash of the row ends the name.
     """
     # A conversation is no group here: neighbours meet by number in an ordinary join.
-    own = turns.select("conv_id", "turn", "text")
-    name = lambda c, t: F.concat_ws("-", F.lit("m"), c, t)
+    whole = F.md5(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}))
+    own = turns.select("conv_id", "turn", "text", whole.alias("whole"))
+    shared = own.groupBy("conv_id", "turn").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least <> most")
+    shared = shared.select("conv_id", "turn", F.lit(True).alias("shared"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    plain = F.concat_ws("-", F.lit("m"), number("conv_id"), number("turn"))
+    alone = F.col("shared").isNull() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    name = F.when(alone, plain).otherwise(F.concat_ws("-", plain, "whole"))
     before = lambda n: own.groupBy("conv_id", "turn").agg(F.min("text").alias(f"text{n}")).select("conv_id", (F.col("turn") + n).alias("turn"), f"text{n}")
     quote = lambda c, mark: F.concat(F.regexp_replace(c, "(?m)^", mark), F.lit("\n"))
-    rows = own.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    rows = own.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left").join(shared, ["conv_id", "turn"], "left")
     text = F.concat(F.coalesce(quote(F.col("text2"), ">> "), F.lit("")), F.coalesce(quote(F.col("text1"), "> "), F.lit("")), F.coalesce("text", F.lit("")))
-    return rows.select(name("conv_id", "turn").alias("message"), F.col("turn").cast("long").alias("sent"), "conv_id", "turn", text.alias("text"))
+    return rows.select(name.alias("message"), F.col("turn").cast("long").alias("sent"), "conv_id", "turn", text.alias("text"))
