@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, order_minhash, ordinal, pii, quality, quotes, sharding, simhash, toxicity
+from tidemark.llm import (
+    best_position, bpe, mixing, order_minhash, ordinal, pii, quality, quotes, sharding, simhash, toxicity, whitening, winnowing)
 from tidemark.llm.shared import documents
 from tidemark.llm.sql import SQL  # noqa: F401
 
@@ -84,5 +85,20 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("score") >= toxicity.PREDICTED_FROM).cast("int").alias("predicted"), "toxic")
 
 
+def op11_best_position(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that rank highest for each benchmark item."""
+    return best_position.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op12_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document shares with the benchmark."""
+    return winnowing.digests(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the whitened main components."""
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding")
+
+
 QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_simhash, op3_bpe, op4_pii, op5_sharding, op6_quotes, op7_mixing, op8_quality,
-                                   op9_ordinal, op10_toxicity)}
+                                   op9_ordinal, op10_toxicity, op11_best_position, op12_winnowing, op13_whitening)}

@@ -99,4 +99,54 @@ def _crc32(text: str) -> str:
     return f"xor({folded}, 4294967295::bigint)"
 
 
-SQL: dict[str, str] = {"op7_mixing": _mixing(), "op8_quality": QUALITY}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Every score, without lists: postings of all documents joined with the terms of all items.
+RANKED = rf"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as terms from documents),
+sums as (
+  select count(*)::bigint as n_docs, sum(len(terms))::bigint as n_all from docs where len(terms) > 0),
+postings as (
+  select r, term, count(*)::bigint as tf from (select r, unnest(terms) as term from docs) group by r, term),
+weights as (
+  select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::double))::bigint as w from postings, sums group by term, n_docs),
+asked as (
+  select q, item_id, term, count(*)::bigint as times
+  from (select q, item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term
+        from (select *, row_number() over () as q from (select distinct item_id, text from benchmark))) group by q, item_id, term),
+lengths as (
+  select r, doc_id, 75 + (25 * len(terms) * n_docs) // n_all as m from docs, sums where len(terms) > 0),
+scores as (
+  select q, item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from asked join weights using (term) join postings using (term) join lengths using (r) group by q, item_id, r, doc_id)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from scores where score > 0)
+where rank <= 20
+"""
+
+# All spans of all documents, without fingerprints.
+SHARED = rf"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select distinct item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+spans as (
+  select distinct item_id, least(len(w), 10) as n,
+         unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) as span
+  from items where len(w) > 0),
+places as (
+  select r, w, n, unnest(range(1, (len(w) - n + 2)::bigint)) as i from docs, (select distinct n from spans) where len(w) >= n),
+hits as (
+  select r, i, n, item_id from (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as span from places) join spans using (n, span)),
+hit_words as (
+  select r, count(distinct j)::bigint as n_hit from (select r, unnest(range(i, i + n)) as j from hits) group by r),
+hit_items as (
+  select r, count(*)::bigint as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct r, item_id::varchar as item from hits where item_id is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit_words using (r) left join hit_items using (r)
+"""
+
+SQL: dict[str, str] = {"op7_mixing": _mixing(), "op8_quality": QUALITY, "op11_best_position": RANKED, "op12_winnowing": SHARED}
