@@ -92,6 +92,7 @@ def replay(prices, events, stop, target, holding, optimistic):
 @pytest.mark.parametrize("density, optimistic", [(1.0, False), (0.3, True), (0.05, False)])
 def test_trades_against_replay(spark, monkeypatch, density, optimistic):
     monkeypatch.setattr(outcomes, "CELL", 16)  # many cells, so that markers cross them
+    monkeypatch.setattr(outcomes, "FAN", 3)  # and several levels of nodes above them
     rng = random.Random(7)
     prices = {t: walk(300, i) for i, t in enumerate(("AA", "BB"))}
     events = {t: [i for i in range(300) if rng.random() < density] for t in prices}
@@ -102,6 +103,45 @@ def test_trades_against_replay(spark, monkeypatch, density, optimistic):
     assert got == want
 
 
+def thin_rows(spark, entries):
+    """A ledger of (ticker, position, holding bars or None), all other outcomes blank."""
+    blank = {c: F.lit(None).cast("double") for c in outcomes.OUTCOME_COLUMNS if c != "holding_bars"}
+    frame = spark.createDataFrame(entries, "ticker string, position long, holding_bars long")
+    return frame.withColumns({**blank, "ambiguous_bar": F.lit(False), "status": F.when(
+        F.col("holding_bars").isNull(), "incomplete_window").otherwise("completed")})
+
+
+def accepted(entries):
+    last, out = {}, {}
+    for ticker, at, bars in sorted(entries, key=lambda e: (str(e[0]), e[1])):
+        late = at + 1 <= last.get(ticker, -1)
+        out[ticker, at] = "overlap" if late else "completed" if bars else "incomplete_window"
+        if bars and not late:
+            last[ticker] = at + bars
+    return out
+
+
+def test_one_long_series_against_replay(spark):
+    rng = random.Random(4)
+    # Dense, sparse and empty stretches, longer than a node of cells; also a series without name.
+    places = [i for i in range(200_000) if not 70_000 <= i < 140_000 and rng.random() < (1 if i < 60_000 else 0.02)]
+    entries = [("AA", i, rng.choice([1, 2, 9, 10, 10, None])) for i in places] + [(None, i, 10) for i in range(0, 5_000, 3)]
+    table = outcomes.thin(thin_rows(spark, entries))
+    got = {(r.ticker, r.position): r.status for r in table.select("ticker", "position", "status").collect()}
+    assert len(entries) > 60_000 and got == accepted(entries)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_holding_longer_than_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(outcomes, "CELL", 4)
+    monkeypatch.setattr(outcomes, "FAN", 2)
+    rng = random.Random(6)
+    entries = [("AA", i, rng.randint(1, 12)) for i in range(500) if rng.random() < 0.6]
+    table = outcomes.thin(thin_rows(spark, entries), holding=12)
+    assert {(r.ticker, r.position): r.status for r in table.collect()} == accepted(entries)
+
+
 def test_forward_outcomes(spark):
     prices = walk(60, 3)
     table = flagged(spark, {"AA": prices}, {"AA": [5, 45, 59]})

@@ -176,47 +176,78 @@ def cleared(ledger: DataFrame, keep: Column) -> DataFrame:
     return ledger.withColumns({**out, "ambiguous_bar": F.col("ambiguous_bar") & keep})
 
 
-CELL = 256
+CELL = 256  # positions of a series whose rows one fold replays
+FAN = 256  # children of a node
+LEVELS = 2  # of nodes above the cells: a top node stands for 2**24 positions of a series
+
+
+def _next_marker(marker: Column, row: Column) -> Column:
+    """The last accepted exit after ``row``; only a completed trade that enters beyond the marker moves it."""
+    return F.when((row._at + 1 > marker) & row._exit.isNotNull(), row._exit).otherwise(marker)
+
+
+def _passed(children: Column, marker: Column) -> Column:
+    """The marker behind a node that ``marker`` enters, from its children (at, sends) in order.
+
+    A marker reaches less than a cell far, so a child that is missing, having no rows, sends nothing on.
+    """
+    end = F.aggregate(children, F.struct(F.lit(0).cast("long").alias("next"), marker.alias("marker")), lambda s, c: F.struct(
+        (c.at + 1).alias("next"), F.get(c.sends, F.when(c.at == s.next, s.marker).otherwise(0)).alias("marker")))
+    return F.when(end.next == FAN, end.marker).otherwise(0)
+
+
+def _arrivals(children: Column, marker: Column) -> Column:
+    """For each child (at, sends) in order the marker that enters it, if ``marker`` enters the first place of all."""
+    def step(s: Column, c: Column) -> Column:
+        arrived = F.when(c.at == s.next, s.marker).otherwise(0)
+        return F.struct((c.at + 1).alias("next"), F.get(c.sends, arrived).alias("marker"),
+                        F.concat(s.found, F.array(F.struct(c.at.alias("at"), arrived.alias("marker")))).alias("found"))
+    none = F.array().cast("array<struct<at:bigint,marker:int>>")
+    return F.aggregate(children, F.struct(F.lit(0).cast("long").alias("next"), marker.alias("marker"), none.alias("found")), step).found
 
 
 def thin(ledger: DataFrame, *, keys: tuple[str, ...] = ("ticker",), holding: int = fixed.HOLDING_BARS) -> DataFrame:
     """Mark entries on or before the last accepted exit of their series as ``overlap``.
 
-    The rule is sequential: only an accepted trade moves the marker. To spread one series
-    over tasks, positions are grouped into cells. An incoming marker reaches at most
-    ``holding`` rows into a cell, so a cell is summed up by where it sends each of those
-    ``holding + 1`` markers. Chaining these short lists gives every cell its true incoming
-    marker, and each cell then replays its own few rows.
+    The rule is sequential: only an accepted trade moves the marker. It is spread over tasks as a composition of
+    functions. Positions are grouped into cells; an incoming marker reaches at most ``holding`` rows into a cell, so a cell is the
+    function that sends each of these ``holding + 1`` markers on to the next cell, written out as a list. Functions compose
+    associatively: ``FAN`` neighbours make one node with a list as short as theirs, and so on up. On
+    the way down every node learns the marker that enters it and passes it through its children, and
+    each cell then replays its own rows once. No list grows with the series but that of its top nodes, one entry for every
+    ``CELL * FAN ** LEVELS`` positions, and rows are shuffled once. Keys may be null; a null key is one series.
     """
-    cell = F.floor(F.col("position") / CELL)
+    size = max(CELL, holding)
     last = F.when(F.col("status") == "completed", F.col("position") + F.col("holding_bars"))
-    marked = ledger.withColumns({"_cell": cell, "_row": F.struct(
-        F.col("position").alias("at"), last.alias("exit"))})
-
-    def replay(rows: Column, marker: Column) -> Column:
-        return F.aggregate(rows, marker, lambda m, r: F.when((r.at + 1 > m) & r.exit.isNotNull(), r.exit).otherwise(m))
-
-    start = F.col("_cell") * CELL - 1
-    cells = marked.groupBy(*keys, "_cell").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    row = F.struct(F.col("position").alias("_at"), last.cast("long").alias("_exit"), F.struct(*ledger.columns).alias("_all"))
+    # As one struct, null keys are equal in the joins below.
+    cells = (ledger.select(F.struct(*keys).alias("_key"), F.floor(F.col("position") / size).alias("_node"), row.alias("_row"))
+             .groupBy("_key", "_node").agg(F.sort_array(F.collect_list("_row")).alias("_rows")))
+    start = F.col("_node") * size - 1
     sends = F.transform(F.sequence(F.lit(0), F.lit(holding)), lambda d: F.greatest(
-        replay(F.col("_rows"), start + d) - (start + CELL), F.lit(0).cast("long")))
-    chain = F.collect_list(F.struct(F.col("_cell").alias("cell"), F.col("_sends").alias("sends"))).over(
-        Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    state = F.aggregate(
-        F.col("_chain"), F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("marker")),
-        lambda s, c: F.struct(c.cell.alias("cell"), F.get(c.sends, F.when(c.cell == s.cell + 1, s.marker)
-                                                         .otherwise(F.lit(0)).cast("int")).alias("marker")))
-    arrived = F.when(state.cell + 1 == F.col("_cell"), state.marker).otherwise(F.lit(0))
-    incoming = (cells.select(*keys, "_cell", sends.alias("_sends"))
-                .withColumn("_chain", chain)
-                .select(*keys, "_cell", (start + arrived).alias("_marker")))
-    inside = (Window.partitionBy(*keys, "_cell").orderBy("position")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    joined = marked.join(incoming, [*keys, "_cell"]).withColumn("_before", F.collect_list("_row").over(inside))
-    overlap = F.col("position") + 1 <= replay(F.col("_before"), F.col("_marker"))
-    joined = joined.withColumn("_overlap", overlap)
-    return cleared(joined.withColumn("status", F.when(F.col("_overlap"), "overlap").otherwise(F.col("status"))),
-                   ~F.col("_overlap")).drop("_cell", "_row", "_marker", "_before", "_overlap")
+        F.aggregate("_rows", start + d, _next_marker) - (start + size), F.lit(0)).cast("int"))
+    table, nodes = cells.select("_key", "_node", sends.alias("_sends")), []
+    for _ in range(LEVELS):
+        child = F.struct((F.col("_node") % FAN).alias("at"), F.col("_sends").alias("sends"))
+        nodes.append(table.select("_key", F.floor(F.col("_node") / FAN).alias("_node"), child.alias("_child"))
+                     .groupBy("_key", "_node").agg(F.sort_array(F.collect_list("_child")).alias("_children")))
+        composed = F.transform(F.sequence(F.lit(0), F.lit(holding)), lambda d: _passed(F.col("_children"), d))
+        table = nodes[-1].select("_key", "_node", composed.alias("_sends"))
+    top = table.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(F.col("_node").alias("at"), F.col("_sends").alias("sends")))).alias("_children"))
+    entering = top.select("_key", F.explode(_arrivals(F.col("_children"), F.lit(0))).alias("_c")).select(
+        "_key", F.col("_c.at").alias("_node"), F.col("_c.marker").alias("_marker"))
+    for level in reversed(nodes):
+        below = level.join(entering, ["_key", "_node"]).select(
+            "_key", "_node", F.explode(_arrivals(F.col("_children"), F.col("_marker"))).alias("_c"))
+        entering = below.select("_key", (F.col("_node") * FAN + F.col("_c.at")).alias("_node"), F.col("_c.marker").alias("_marker"))
+
+    def replay(s: Column, r: Column) -> Column:
+        return F.struct(_next_marker(s.marker, r).alias("marker"), F.concat(s.late, F.array(r._at + 1 <= s.marker)).alias("late"))
+    late = F.aggregate("_rows", F.struct((start + F.col("_marker")).alias("marker"), F.array().cast("array<boolean>").alias("late")), replay).late
+    rows = F.zip_with("_rows", late, lambda r, o: F.struct(r._all.alias("all"), o.alias("_overlap")))
+    found = cells.join(entering, ["_key", "_node"]).select(F.explode(rows).alias("_r")).select("_r.all.*", "_r._overlap")
+    return cleared(found.withColumn("status", F.when(F.col("_overlap"), "overlap").otherwise(F.col("status"))),
+                   ~F.col("_overlap")).drop("_overlap")
 
 
 def barrier_trades(signals: DataFrame, *, take_profit: float | None = fixed.TAKE_PROFIT,

@@ -11,6 +11,8 @@ SETTINGS = {
     # Windows cost far more per byte than scans do, so small partitions must not be merged
     # into one task just because their bytes would fit.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # State with timers (tidemark.streaming.state) needs this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
