@@ -16,9 +16,10 @@ def draws_part(name: str, source: str, by: str, value: str, draws: int, block: i
       SELECT {by}, s, n, row_number() OVER (PARTITION BY {by} ORDER BY timestamp) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS c
       FROM (SELECT {by}, timestamp, sum({value}) AS s, count({value}) AS n FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL)""")
     part(f"{name}_pl", f"{name}_cl", f"""
-      SELECT {by}, c, d.draw, k.k // {block} AS blk, k.k % {block} AS off,
-             ('0x' || substr(md5('42:' || d.draw || ':' || (k.k // {block})), 1, 8))::BIGINT % c AS start
-      FROM (SELECT DISTINCT {by}, c FROM {name}_cl WHERE c >= {2 * block}) g, range({draws}) d(draw), range(20000) k(k) WHERE k.k < c""")
+      SELECT {by}, c, h.draw, k.k // {block} AS blk, k.k % {block} AS off, h.hash % c AS start
+      FROM (SELECT DISTINCT {by}, c FROM {name}_cl WHERE c >= {2 * block}) g JOIN range(20000) k(k) ON k.k < c
+      JOIN (SELECT draw, blk, ('0x' || substr(md5('42:' || draw || ':' || blk), 1, 8))::BIGINT AS hash FROM range({draws}) d(draw), range({20000 // block}) b(blk)) h
+        ON h.blk = k.k // {block} AND h.blk <= (SELECT max(c) FROM {name}_cl) // {block}""")
     part(name, f"{name}_pl {name}_cl", f"""
       SELECT {by}, stddev_samp(m) AS standard_error, quantile_cont(m, {(1 - 0.95) / 2!r}) AS ci_lower, quantile_cont(m, {(1 + 0.95) / 2!r}) AS ci_upper
       FROM (SELECT {', '.join('a.' + k for k in keys)}, a.draw, sum(b.s) / sum(b.n) AS m FROM {name}_pl a JOIN {name}_cl b
@@ -126,7 +127,14 @@ SETS = {"fold_summary": "fold, horizon", "oos_summary": "horizon", "ticker_summa
 part("oset", "fold_fwd", " UNION ALL BY NAME ".join(
     f"SELECT '{name}' AS grouping, * FROM ({outcome_summary('(SELECT * FROM fold_fwd' + (chr(32) + 'WHERE horizon = 10 AND selection = ' + chr(39) + 'events' + chr(39) if name.startswith('component') else '') + ')', 'selection, ' + by)})"
     for name, by in SETS.items()))
-SQL["robustness_sets"] = sql(rounded("grouping, selection, fold, ticker, regime, dip_component_count, horizon, " + OUTCOME_COUNTS, OUTCOME_NUMBERS, "FROM oset"), "oset")
+SET_KEYS = "grouping, selection, fold, ticker, regime, dip_component_count, horizon"
+part("oset_rows", "fold_fwd", " UNION ALL BY NAME ".join(
+    f"SELECT '{name}' AS grouping, selection, {by}, timestamp, forward_return AS x FROM fold_fwd WHERE status = 'completed'"
+    + (" AND horizon = 10 AND selection = 'events'" if name.startswith("component") else "") for name, by in SETS.items()))
+draws_part("boot_oset", "oset_rows", SET_KEYS, "x", 2000)
+SQL["robustness_sets"] = sql(rounded(", ".join(f"a.{k}" for k in SET_KEYS.split(", ")) + ", " + OUTCOME_COUNTS, f"{OUTCOME_NUMBERS}, {BOOT}",
+                                     "FROM oset a LEFT JOIN boot_oset b ON " + " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in SET_KEYS.split(", "))),
+                             "oset", "boot_oset")
 TSETS = {"trade_fold_summary": "mode, fold", "trade_oos_summary": "mode", "trade_ticker_summary": "mode, ticker", "trade_regime_summary": "mode, regime",
          "trade_fold_regime_summary": "mode, fold, regime"}
 part("tset", "fold_trade", " UNION ALL BY NAME ".join(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark import fixed
 from tidemark.operators.quantiles import with_quantiles
@@ -50,10 +55,23 @@ def _join_groups(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> Data
     return left.join(renamed, same, "left").drop(*[f"_k_{k}" for k in by])
 
 
-def draw_start(seed: int, draw: Column, block: Column, clusters: Column) -> Column:
-    """Repeatable start of one bootstrap block, from a hash of its place."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), block.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % clusters
+def block_hashes(seed: int, draws: int, blocks: int) -> np.ndarray:
+    """For each draw and block a repeatable number from a hash of its place; modulo the dates of a group it is the block's start."""
+    return np.array([[int(md5(f"{seed}:{draw}:{block}".encode()).hexdigest()[:8], 16) for block in range(blocks)]
+                     for draw in range(draws)], np.int64).reshape(draws, blocks)
+
+
+def resampled(sums: np.ndarray, rows: np.ndarray, block: int, hashes: np.ndarray) -> np.ndarray:
+    """Mean of each draw, from the sums and row counts of a group's dates in order, a circle of which ``block`` are drawn at a time."""
+    dates = len(sums)
+    blocks = -(-dates // block)
+    tail = dates - (blocks - 1) * block
+    starts = hashes[:, :blocks] % dates
+
+    def total(values: np.ndarray) -> np.ndarray:
+        cells = np.lib.stride_tricks.sliding_window_view(np.concatenate([values, values[:block - 1]]), block)
+        return cells.sum(1)[starts[:, :-1]].sum(1) + cells[:, :tail].sum(1)[starts[:, -1]]
+    return total(sums) / total(rows)
 
 
 def bootstrap(table: DataFrame, value: str, *, by: tuple[str, ...], date: str = "timestamp",
@@ -61,48 +79,32 @@ def bootstrap(table: DataFrame, value: str, *, by: tuple[str, ...], date: str =
               confidence: float = fixed.CONFIDENCE) -> DataFrame:
     """Circular block bootstrap of the row-weighted mean over date clusters.
 
-    Values are summed per date first. The sum of every possible block is then one window
-    over the (at most calendar-many) dates of a group, so a draw looks up whole blocks
+    Values are summed per date first, and a group becomes one row of its (at most calendar-many) dates. The draws are one
+    table that all groups share, made once per task: a group looks up the sum of each drawn block
     instead of single dates. Groups with fewer than two blocks of dates are left out.
     """
     group = F.struct(*[F.col(k) for k in by]) if by else F.struct(F.lit(0).alias("_all"))
     clusters = (table.where(F.col(value).isNotNull()).groupBy(group.alias("_group"), F.col(date).alias("_date"))
-                .agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows")))
-    w = Window.partitionBy("_group")
-    clusters = clusters.withColumns({
-        "_i": F.row_number().over(w.orderBy("_date")) - 1, "_c": F.count(F.lit(1)).over(w)})
-    clusters = clusters.where(F.col("_c") >= 2 * block)
-    blocks = F.ceil(F.col("_c") / block)
-    # The circle is closed by repeating the first block behind the last date.
-    turns = F.when(F.col("_i") < block - 1, F.array(F.col("_i"), F.col("_i") + F.col("_c"))).otherwise(F.array(F.col("_i")))
-    circle = clusters.withColumn("_at", F.explode(turns))
-    ahead = Window.partitionBy("_group").orderBy("_at").rowsBetween(0, block - 1)
-    cells = F.collect_list(F.struct("_sum", "_rows")).over(ahead)
-    add = F.aggregate
-    tail = (F.col("_c") - (blocks - 1) * block).cast("int")
-
-    def total(field: str, cells_: Column) -> Column:
-        return add(F.transform(cells_, lambda c: c[field].cast("double")), F.lit(0.0), lambda a, b: a + b)
-
-    starts = (circle.withColumn("_cells", cells).where(F.col("_at") < F.col("_c"))
-              .select("_group", F.col("_i").cast("long").alias("_start"),
-                      F.struct(total("_sum", F.col("_cells")).alias("s"), total("_rows", F.col("_cells")).alias("n")).alias("_full"),
-                      F.struct(total("_sum", F.slice("_cells", 1, tail)).alias("s"),
-                               total("_rows", F.slice("_cells", 1, tail)).alias("n")).alias("_tail")))
-    size = clusters.groupBy("_group").agg(F.max("_c").alias("_c"))
-    places = (size.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-              .withColumn("_block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-              .withColumn("_start", draw_start(seed, F.col("_draw"), F.col("_block"), F.col("_c")))
-              .withColumn("_last", F.col("_block") == blocks - 1))
-    picked = F.when(F.col("_last"), F.col("_tail")).otherwise(F.col("_full"))
-    means = (places.join(starts, ["_group", "_start"]).groupBy("_group", "_draw")
-             .agg((F.sum(picked.s) / F.sum(picked.n)).alias("_mean")))
-    low, high = (1 - confidence) / 2, (1 + confidence) / 2
-    # At most ``draws`` values per group from here on.
-    return means.groupBy("_group").agg(
-        F.stddev_samp("_mean").alias("standard_error"), F.percentile("_mean", F.lit(low)).alias("ci_lower"),
-        F.percentile("_mean", F.lit(high)).alias("ci_upper")).select(
-        *[F.col(f"_group.{k}").alias(k) for k in by], "standard_error", "ci_lower", "ci_upper")
+                .agg(F.sum(F.col(value).cast("double")).alias("_sum"), F.count(F.lit(1)).alias("_rows")))
+    dates = clusters.groupBy("_group").agg(F.sort_array(F.collect_list(F.struct("_date", "_sum", "_rows"))).alias("_dates"))
+    dates = dates.where(F.size("_dates") >= 2 * block).select("_group", "_dates._sum", "_dates._rows")
+    schema = StructType([dates.schema["_group"], *(StructField(c, DoubleType()) for c in ("standard_error", "ci_lower", "ci_upper"))])
+    bounds = [100 * (1 - confidence) / 2, 100 * (1 + confidence) / 2]
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = np.zeros((draws, 0), np.int64)
+        for part in parts:
+            found = []
+            for sums, rows in zip(part.column("_sum"), part.column("_rows")):
+                sums, rows = sums.values.to_numpy(), rows.values.to_numpy()
+                if -(-len(sums) // block) > hashes.shape[1]:
+                    hashes = block_hashes(seed, draws, -(-len(sums) // block))
+                means = resampled(sums, rows, block, hashes)
+                found.append((means.std(ddof=1), *np.percentile(means, bounds)))
+            columns = zip(*found) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([part.column("_group"), *(pa.array(c, pa.float64(), from_pandas=True) for c in columns)], names=schema.names)
+
+    return dates.mapInArrow(draw, schema).select(*[F.col(f"_group.{k}").alias(k) for k in by], "standard_error", "ci_lower", "ci_upper")
 
 
 def risk_adjusted(table: DataFrame, value: str, *, by: tuple[str, ...], periods: float = 252.0,

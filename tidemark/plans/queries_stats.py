@@ -116,12 +116,12 @@ TRADE_SETS = {
 
 @kept
 def outcome_sets(spark, folder) -> DataFrame:
-    """All outcome groupings in one pass; component groupings hold ten-bar events only."""
+    """All outcome groupings in one pass, with uncertainty; component groupings hold ten-bar events only."""
     table = robustness.in_sets(studies.fold_outcomes(spark, folder), OUTCOME_SETS)
     by_component = F.col("grouping").startswith("component")
     table = table.where(~by_component | ((F.col("selection") == "events") & (F.col("horizon") == 10)))
     keys = ("grouping", "selection", "fold", "ticker", "regime", "dip_component_count", "horizon")
-    return stats.summarize_outcomes(table, keys, uncertainty=False)
+    return stats.summarize_outcomes(table, keys)
 
 
 @query
