@@ -23,12 +23,12 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
-# A line in more distinct texts of its host than LINE_TEXTS, and than LINE_SHARE of them, goes; a
-# document of which less than MIN_LEFT of the words stay is rejected.
+# A line in more distinct texts of its host than LINE_TEXTS goes, however many texts the host has; a document of
+# which less than MIN_LEFT of the words stay is rejected.
 LINE_TEXTS = 10
-LINE_SHARE = 0.002
 MIN_LEFT = 0.3
 
+
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words in windows that occur twice or more, first ones included; exact, without hashing.
 
@@ -89,14 +89,13 @@ def _told_apart(docs: DataFrame, host: str) -> DataFrame:
     return docs.withColumns({"content": F.xxhash64("text"), "host": F.col(host).cast("string")})
 
 
-def common_lines(measures: DataFrame) -> DataFrame:
-    """(host, line) of lines in more distinct texts of a host than the limit; nulls are one host."""
+def common_lines(measures: DataFrame, limit: int = LINE_TEXTS) -> DataFrame:
+    """(host, line) of lines in more than ``limit`` distinct texts of a host; nulls are one host.
+
+    The limit is a number of texts, so texts that do not hold a line have no say in it.
+    """
     texts = measures.select("host", "content", F.explode("lines.line").alias("line"))
-    hosts = measures.groupBy("host", "content").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("texts"))
-    counted = texts.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LINE_TEXTS)
-    hosts = hosts.select(F.col("host").alias("_host"), "texts")
-    return (counted.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > LINE_SHARE * F.col("texts"))
-            .select("host", "line"))
+    return texts.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("host", "line")
 
 
 def _row() -> Column:
@@ -104,24 +103,26 @@ def _row() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "content", F.col("host").isNull(), "host")
 
 
-def _in_common(measures: DataFrame) -> DataFrame:
+def _in_common(measures: DataFrame, limit: int) -> DataFrame:
     """(row, line, n) of the common lines in each document, once for repeated rows."""
-    common = common_lines(measures).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
+    common = common_lines(measures, limit).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
     lines = measures.select(_row().alias("row"), "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
     return lines.join(common, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).select("row", "line", "n").distinct()
 
 
-def judged(docs: DataFrame, host: str = "source") -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS) -> DataFrame:
     """One row for each document with its measures, the words that stay, and whether it is kept.
 
+    Lines in more than ``limit`` texts of their host do not stay.
+
     Null and empty texts have no words and fail the base rules. Rows that share an id, or have
     none, are judged one by one. An empty table gives an empty result.
     """
-    return _judged(written(measured(docs, host), "measures")).drop("row")
+    return _judged(written(measured(docs, host), "measures"), limit).drop("row")
 
 
-def _judged(measures: DataFrame) -> DataFrame:
-    lost = _in_common(measures).groupBy("row").agg(F.sum("n").alias("lost"), F.count("*").alias("n_common_lines"))
+def _judged(measures: DataFrame, limit: int) -> DataFrame:
+    lost = _in_common(measures, limit).groupBy("row").agg(F.sum("n").alias("lost"), F.count("*").alias("n_common_lines"))
     out = measures.drop("lines").withColumn("row", _row()).join(lost, "row", "left")
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     return out.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -129,14 +130,14 @@ def _judged(measures: DataFrame) -> DataFrame:
                       (~F.col("base_failed") & (left >= MIN_LEFT * F.col("n_words"))).alias("kept"))
 
 
-def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that are kept, without the lines that too many texts of their host share.
+def cleaned(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS) -> DataFrame:
+    """The documents that are kept, without the lines that more than ``limit`` texts of their host share.
 
     All columns stay; ``content`` and ``host`` are replaced if there are such columns already.
     """
     measures = written(measured(docs, host), "measures")
-    lines = _in_common(measures).groupBy("row").agg(F.collect_set("line").alias("common"))  # of one document
-    kept = _judged(measures).where("kept").select(F.col("row").alias("_row")).distinct()
+    lines = _in_common(measures, limit).groupBy("row").agg(F.collect_set("line").alias("common"))  # of one document
+    kept = _judged(measures, limit).where("kept").select(F.col("row").alias("_row")).distinct()
     rows = _told_apart(docs, host).withColumn("_row", _row()).join(kept, "_row", "left_semi")
     rows = rows.join(lines.withColumnRenamed("row", "_row"), "_row", "left").drop("_row", "content")
     names = [f.name for f in rows.schema if f.name not in ("common", "text")]

@@ -23,11 +23,8 @@ keyed as (
   from counted where len(own) > 0),
 dup as (
   select doc_id, count(*) - count(distinct line) as n_dup_lines from keyed group by doc_id),
-hosts as (
-  select source, count(distinct body) as texts from docs group by source),
 common as (
-  select source, key from keyed join hosts using (source) group by source, key, texts
-  having count(distinct body) > 10 and count(distinct body) > 0.002 * texts),
+  select source, key from keyed group by source, key having count(distinct body) > 10),
 lost as (
   select doc_id, sum(n) as lost, count(distinct key) as n_common_lines from keyed join common using (source, key) group by doc_id),
 grams as (
