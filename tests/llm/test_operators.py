@@ -456,3 +456,42 @@ def test_toxic_rows_go_one_by_one(spark):
     kept = toxicity.without_toxic(frame.drop("toxic").unionByName(rows), frame.select("doc_id", "toxic"))
     own = kept.where("doc_id is null or doc_id > 1000").select("doc_id", "text").collect()
     assert sorted(map(str, own)) == sorted(map(str, [r for r in rows.select("doc_id", "text").collect() if r["text"] != bad]))
+
+
+# Bounds
+
+def test_unrelated_documents_change_no_verdict(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    shared_line = words(25)
+    docs = [(i, f"{shared_line}\n{words(30 if i % 2 else 5)}", "h") for i in range(12)] + [(100 + i, words(40), "h") for i in range(20)]
+    more = [(1000 + i, words(30), "h") for i in range(10_000)]
+    verdict = lambda rows, **kw: {r["doc_id"]: (r["words_left"], r["kept"]) for r in quality.judged(
+        spark.createDataFrame(rows, "doc_id long, text string, source string"), **kw).where("doc_id < 1000").collect()}
+    alone = verdict(docs)
+    assert alone == verdict(docs + more) and {alone[0][1], alone[1][1]} == {False, True}
+    assert all(left >= 25 + 5 for left, _ in verdict(docs, limit=12).values())
+
+
+def test_samples_are_bounded(spark):
+    from tidemark.llm import shared
+    many = spark.range(100_000).selectExpr("7L as doc_id", "concat('text number ', id, ' 1') as text", "'en' as lang")
+    few = spark.createDataFrame([(i, f"other text {i} 2", None) for i in range(5)], "doc_id long, text string, lang string")
+    docs = many.unionByName(few)
+    labels = docs.select("doc_id").distinct().withColumn("toxic", F.lit(1))
+    rows = shared.sampled(docs, labels, ["toxic"], 100)
+    assert sorted(r["doc_id"] for r in rows) == [0, 1, 2, 3, 4, 7]
+    assert [r["text"] for r in rows if r["doc_id"] == 7] == ["text number 0 1"]
+    assert 1 <= len(shared.sampled(docs, labels, ["toxic"], 100, chars=40)) <= 2
+    long = spark.createDataFrame([(1, "x" * 50_000 + " a.b@example.org " + "y" * 50_000)], "doc_id long, text string")
+    assert pii.trained(docs.select("doc_id", "text").unionByName(long), sample=20, longest=200) is not None
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+    from tidemark.llm import shared
+    part = pa.RecordBatch.from_pydict({"a": ["x" * n for n in (5, 10**7, 3, 2, 4 * 10**6, 3 * 10**5)] + ["y"] * 1000 + [None], "n": list(range(1007))})
+    found = list(shared.slices(part))
+    assert [b for b, _ in found] == [0, *(e for _, e in found[:-1])] and found[-1][1] == 1007
+    sizes = [len(v or "") for v in part.column(0).to_pylist()]
+    assert all(e - b == 1 or (e - b <= shared.SLICE and sum(sizes[b:e]) <= shared.SLICE_BYTES) for b, e in found)

@@ -35,6 +35,7 @@ WINDOW = 96
 STRIDE = 64
 HIDDEN = 12
 SAMPLE = 400
+LONGEST = 20_000  # characters of one text of the sample
 STEPS = 800
 BATCH = 32
 RATE = 0.02
@@ -278,15 +279,19 @@ def _plausible(kind: str, text: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
-def trained(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
+def trained(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Tagger:
     """Fitted on a bounded sample of texts that have a digit or an @, labelled by the patterns.
 
-    At most ``sample`` texts, the first by a hash of their ids; texts over 20,000 characters are
-    not labelled by the patterns but read by the network like all others.
+    At most ``sample`` texts, the first by a hash of their ids, one for each id; of a text over ``longest`` characters so many
+    about its first digit or @ are learnt from. The network then reads all texts, whole.
     """
-    rows = (docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000) & F.col("doc_id").isNotNull())
-            .select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("by")).orderBy("by", "doc_id").limit(sample))
-    texts = [r["text"] for r in docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").orderBy("by", "text").collect()][:sample]
+    order = F.md5(F.col("doc_id").cast("string"))
+    rows = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
+    ids = rows.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
+    begin = F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - longest // 2, F.lit(1))
+    part = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.substring("text", begin, F.lit(longest)))
+    texts = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(part).alias("text"))
+    texts = [r["text"] for r in texts.orderBy(order, "doc_id").collect()]
     return fitted(texts, [base_spans(t) for t in texts])
 
 

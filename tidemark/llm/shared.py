@@ -6,8 +6,10 @@ import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -16,7 +18,9 @@ from tidemark.storage import dropped, written
 
 # Fixed value: a word is a run of characters other than space and the five ASCII line controls.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE = 512  # texts that are Python objects at a time
+SLICE = 512  # texts that are Python objects at a time,
+SLICE_BYTES = 1 << 22  # and how long these are together, unless a single one is longer
+SAMPLE_CHARS = 1 << 26  # of all texts of a sample
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +37,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def slices(part: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``SLICE`` rows and ``SLICE_BYTES`` bytes of text, or of one row."""
+    texts = [c for c in part.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy().astype(np.int64) for c in texts), np.zeros(part.num_rows, np.int64))
+    until = sizes.cumsum()
+    begin = 0
+    while begin < part.num_rows:
+        most = until[begin] - sizes[begin] + SLICE_BYTES
+        end = min(begin + SLICE, max(int(np.searchsorted(until, most, side="right")), begin + 1))
+        yield begin, min(end, part.num_rows)
+        begin = end
+
+
 def batches(frame: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """Rows made from slices of Arrow batches.
 
@@ -44,8 +61,8 @@ def batches(frame: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]]
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for part in parts:
-            for start in range(0, part.num_rows, SLICE):
-                rows = list(function(*(column.to_pylist() for column in part.slice(start, SLICE).columns)))
+            for begin, end in slices(part):
+                rows = list(function(*(column.to_pylist() for column in part.slice(begin, end - begin).columns)))
                 columns = zip(*rows) if rows else [()] * len(kind)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
@@ -94,15 +111,19 @@ def _sum_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(key.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftright(key, 32))).first())
 
 
-def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], most: int) -> list:
-    """At most ``most`` labelled documents (doc_id, text, lang and ``columns``), in an order by hash.
+def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, chars: int = SAMPLE_CHARS) -> list:
+    """At most ``most`` labelled documents (doc_id, text, lang and ``columns``) of ``chars`` characters in all, in an order by hash.
 
     The ids are chosen from ``labels`` alone; they are at most ``most``, so sending them to all
-    tasks is safe.
+    tasks is safe. Of rows that share an id the one of least text and language is taken. What reaches the driver is
+    bounded by ``most`` and ``chars``: the documents that would exceed ``chars`` are left out, the last ones first.
     """
     order = F.md5(F.col("doc_id").cast("string"))
     ids = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
     ids = ids.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(most)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return sorted(rows, key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())[:most]
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", *columns).agg(F.min(F.struct("text", "lang")).alias("least")).select("doc_id", "least.*", *columns)
+    # One row for each of at most ``most`` ids: the running sum may go through one task.
+    so_far = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_chars", so_far).where(F.col("_chars") <= chars).drop("_chars").collect()
+    return sorted(rows, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]))
