@@ -29,7 +29,7 @@ COMPONENTS = 4
 ROWS = 2048  # distinct vectors of a task; each costs one update of all eigenvectors
 FAN_IN = 16
 EPSILON = float(np.finfo(float).eps)
-ROUNDS = 60  # of the secular equation, which needs about eight; bisection alone would need these
+ROUNDS = 60  # of the secular equation, which needs about five; bisection alone would need these
 NO_VARIANCE = 1e-12  # a component with less than this share of all variance has none
 
 
@@ -37,7 +37,7 @@ def roots(poles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Roots of 1 + sum(weights / (poles - x)), one above each pole, and poles minus roots, by (root, pole).
 
     Poles ascend and differ, weights are positive. Each root is sought as a distance from the nearer of its two poles, by an
-    interpolation with a pole on either side that falls back to bisection, so the differences are accurate as well.
+    interpolation by two poles that falls back to bisection, so the differences are accurate as well.
     """
     size = len(poles)
     here, last = np.arange(size), size - 1
@@ -51,29 +51,32 @@ def roots(poles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if at_half[last] < 0:
         low[last], high[last] = half[last], 2 * half[last]
     x = (low + high) / 2
-    left = np.tri(size, dtype=bool)
+    # The function is taken as a constant and two poles: the two around the root, for the last root the two before it. The
+    # nearer pole keeps its own weight, slope and value settle the rest; the root of that is the next try.
+    first = np.minimum(here, max(last - 1, 0))
+    second = np.minimum(first + 1, last)
+    near = np.where(from_left & (here < last), first, second)
+    far = first + second - near
+    settled = np.zeros(size, bool)
     for _ in range(ROUNDS):
         gap = apart - x[:, None]
         share = weights / gap
-        slope = share / gap
-        value = 1 + share.sum(1)
+        value, slope = 1 + share.sum(1), np.einsum("ij,ij->i", share, 1 / gap)
         high, low = np.where(value > 0, x, high), np.where(value > 0, low, x)
-        slope_left = (slope * left).sum(1)
-        slope_right = slope.sum(1) - slope_left
-        to_left, to_right = gap[here, here], gap[here, np.minimum(here + 1, last)]
-        to_right[last] = 1.0
-        constant = value - slope_left * to_left - slope_right * to_right
-        linear = constant * (to_left + to_right) + slope_left * to_left**2 + slope_right * to_right**2
-        root = np.sqrt(np.maximum(linear**2 - 4 * constant * to_left * to_right * value, 0))
+        one, two = gap[here, first], gap[here, second]
+        to_near, to_far = gap[here, near], gap[here, far]
+        constant = value - to_far * slope - (to_near - to_far) * share[here, near] / to_near
+        linear, product = (one + two) * value - one * two * slope, one * two * value
+        root = np.sqrt(np.abs(linear**2 - 4 * constant * product))
+        root[last] = -root[last]
         with np.errstate(divide="ignore", invalid="ignore"):
-            step = np.where(linear <= 0, (linear - root) / (2 * constant), 2 * to_left * to_right * value / (linear + root))
-            step[last] = to_left[last] * value[last] / (value[last] - slope_left[last] * to_left[last])
-        new = x + step
-        new = np.where((new > low) & (new < high), new, (low + high) / 2)
-        done = np.abs(new - x) <= 4 * EPSILON * np.abs(new)
-        x = new
-        if done.all():
+            new = x + np.where((linear <= 0) ^ (here == last), (linear - root) / (2 * constant), 2 * product / (linear + root))
+        # A root stays where it is once the step is lost in rounding, or the value in that of its terms.
+        settled |= (np.abs(new - x) <= 4 * EPSILON * np.abs(x)) | (np.abs(value) <= 4 * EPSILON * (1 + np.abs(share).sum(1)))
+        if settled.all():
             break
+        new = np.where((new > low) & (new < high), new, (low + high) / 2)
+        x = np.where(settled, x, new)
     gap = apart - x[:, None]
     return np.where(from_left, poles, upper) + x, gap
 
