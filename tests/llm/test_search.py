@@ -59,8 +59,9 @@ def check_overlaps(docs, items):
     assert all(r["n_hit"] == sum(s["end"] - s["begin"] for s in r["hit"]) for r in rows)
 
 
-@pytest.mark.parametrize("letters", [2, 4])
-def test_no_shared_span_is_missed(spark, letters):
+@pytest.mark.parametrize("letters, block", [(2, 1 << 20), (4, 1 << 20), (4, 40)])
+def test_no_shared_span_is_missed(spark, monkeypatch, letters, block):
+    monkeypatch.setattr(winnowing, "BLOCK_GRAMS", block)
     rng = random.Random(letters)
     make = lambda n: [rng.choice("abcd"[:letters]) for _ in range(n)]
     items = [(i, " ".join(make(rng.choice([1, 2, 6, 9, 10, 11, 14, 30])) if letters == 4 else make(rng.choice([10, 13, 25])))) for i in range(25)]

@@ -6,8 +6,8 @@ hash in it: no shared span is missed, though only about two hashes in seven are
 of documents are joined with those of the benchmark; around each agreement the spans of ``SPAN`` words are
 then compared word by word with those of the benchmark.
 
-Built from column expressions alone. Texts are read twice and never shuffled whole unless the documents
-that agree somewhere are too many to broadcast; only one of equal texts is compared word by word.
+Built from column expressions alone. Texts are read once for every ``BLOCK_GRAMS`` fingerprints of the benchmark and never
+shuffled: a task keeps the few words around each agreement, and only these are compared.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPAN = 10
 K = 5
 POSITION_BITS = 31
+BLOCK_GRAMS = 1 << 20  # fingerprints of the benchmark that are broadcast at a time: about 50 MB
 
 
 def words(text: Column) -> Column:
@@ -57,17 +58,9 @@ def fingerprints(of: Column, span: int) -> Column:
     return let(let(of, lambda w: grams(w, K)), lambda g: F.when(F.size(g) >= size, F.array_distinct(least(g))).otherwise(F.array().cast("array<bigint>")))
 
 
-def joined(of: Column, start: Column, span: Column) -> Column:
-    """``span`` words, at most ``SPAN``, from word ``start`` on as one text; its cost is that of the span alone."""
-    return F.concat_ws(" ", *[F.when(span > j, F.get(of, start + j)) for j in range(SPAN)])
-
-
-def _kept(table: DataFrame, span: int) -> DataFrame:
-    """One row for each kept gram of a table with its fingerprints in ``kept_<span>``."""
-    others = [c for c in table.columns if not c.startswith("kept_")]
-    kept = table.select(*others, F.explode(f"kept_{span}").alias("_kept"))
-    return kept.select(*others, F.lit(span).alias("span"), F.shiftright("_kept", POSITION_BITS).alias("gram"),
-                       F.col("_kept").bitwiseAND((1 << POSITION_BITS) - 1).cast("int").alias("at"))
+def joined(of: Column, start: Column, n: Column, most: int = SPAN) -> Column:
+    """``n`` words, at most ``most``, from word ``start`` on as one text; its cost is that of these words alone."""
+    return F.concat_ws(" ", *[F.when(n > j, F.get(of, start + j)) for j in range(most)])
 
 
 class Benchmark:
@@ -91,10 +84,14 @@ class Benchmark:
         self.texts = written(members.select("span_text").distinct().withColumn("span_id", F.monotonically_increasing_id()), "spans")
         self.members = written(members.where("item_id is not null").join(self.texts, "span_text").select("span_id", "item_id"), "items")
         dropped(members)
-        self.grams = None
-        if self.spans:
-            kept = [items.where(span == n).select(fingerprints(F.col("words"), n).alias(f"kept_{n}")) for n in self.spans]
-            self.grams = written(reduce(DataFrame.union, [_kept(t, n).select("span", "gram") for t, n in zip(kept, self.spans)]).distinct(), "grams")
+        kept = [items.where(span == n).select(F.lit(n).alias("span"), F.explode_outer(fingerprints(F.col("words"), n)).alias("kept")) for n in self.spans]
+        kept = reduce(DataFrame.union, kept) if kept else items.where("false").selectExpr("0 as span", "0L as kept")
+        self.grams = written(kept.where("kept is not null").select("span", F.shiftright("kept", POSITION_BITS).alias("gram")).distinct(), "grams")
+
+    def blocks(self) -> list[DataFrame]:
+        """The fingerprints (span, gram) in parts of about ``BLOCK_GRAMS``, at least one; each is small enough to broadcast."""
+        many = -(-self.grams.count() // BLOCK_GRAMS) or 1
+        return [self.grams.where(F.pmod(F.xxhash64("gram"), F.lit(many)) == block) for block in range(many)]
 
 
 def overlaps(docs: DataFrame, benchmark: Benchmark) -> tuple[DataFrame, DataFrame]:
@@ -105,35 +102,32 @@ def overlaps(docs: DataFrame, benchmark: Benchmark) -> tuple[DataFrame, DataFram
     from word ``start`` (from 0) on are a span of the benchmark. Both are empty for an empty table.
     """
     digest = F.md5(F.col("text").cast("binary"))
-    kept = docs.select("doc_id", digest.alias("digest"), words(F.col("text")).alias("words"))
-    kept = kept.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"),
-                       *[fingerprints(F.col("words"), n).alias(f"kept_{n}") for n in benchmark.spans])
-    kept = written(kept, "fingerprints")
-    rows = kept.select("doc_id", "digest", "n_words")
-    if not benchmark.spans:
-        return rows, rows.where("false").selectExpr("digest", "0 as start", "0 as span", "0L as span_id")
-    same = reduce(DataFrame.union, [_kept(kept.select("digest", f"kept_{n}"), n) for n in benchmark.spans])
-    same = same.join(benchmark.grams, ["span", "gram"], "left_semi").select("digest", "span", "at").distinct()
-    # Written, so that its size is known when texts are joined to it; a row is bounded by its text.
-    agreed = written(same.groupBy("digest").agg(F.collect_list(F.struct("span", "at")).alias("agreed")), "agreed")
-    texts = docs.select(digest.alias("digest"), "text").join(agreed, "digest").dropDuplicates(["digest"])
-
-    # Start and length of a span as one number, since only arrays of numbers lose repeats in one pass.
-    def around(hit: Column, w: Column) -> Column:
-        first, last = F.greatest(hit.at - (SPAN - K), F.lit(0)), F.least(hit.at, F.size(w) - SPAN)
-        starts = F.when(hit.span == SPAN, F.sequence(first, last)).otherwise(F.array(hit.at))
-        return F.transform(starts, lambda s: s.cast("long") * (SPAN + 1) + hit.span)
-
-    def compared(s: Column, w: Column) -> Column:
-        start, span = F.floor(s / (SPAN + 1)).cast("int"), (s % (SPAN + 1)).cast("int")
-        return F.struct(start.alias("start"), span.alias("span"), joined(w, start, span).alias("span_text"))
-    spans = let(words(F.col("text")), lambda w: F.transform(
-        F.array_distinct(F.flatten(F.transform("agreed", lambda hit: around(hit, w)))), lambda s: compared(s, w)))
-    # An outer explode, as an inner one would be filtered by its own length, computed apart.
-    found = texts.select("digest", F.explode_outer(spans).alias("s")).select("digest", "s.*").join(benchmark.texts, "span_text").drop("span_text")
-    found = written(found, "overlaps")
-    dropped(agreed)
-    return rows, found
+    split = docs.select("doc_id", digest.alias("digest"), words(F.col("text")).alias("words"))
+    # A null stands for the document itself, so that documents and agreements come out of one pass.
+    kept = F.concat(F.array(F.lit(None).cast("bigint")), *[fingerprints(F.col("words"), n) for n in benchmark.spans])
+    # The array is a column before it is exploded, so that generated code runs through explode, join and filter at once
+    # and words are not copied for every kept gram. An inner explode would be filtered by its own length, computed apart.
+    kept = split.select("doc_id", "digest", "words", kept.alias("all")).select("doc_id", "digest", "words", F.explode_outer("all").alias("kept"))
+    n = F.size("words")
+    at, whole = F.col("kept").bitwiseAND((1 << POSITION_BITS) - 1).cast("int"), F.col("span") == SPAN
+    start = F.when(whole, F.greatest(at - (SPAN - K), F.lit(0))).otherwise(at)
+    length = F.when(whole, F.least(at + SPAN, n)).otherwise(at + F.col("span")) - start
+    rows, found = None, None
+    for grams in benchmark.blocks():
+        # The words around an agreement are read off while the document is at hand; nothing else of a text leaves its task.
+        met = kept.join(F.broadcast(grams), F.shiftright("kept", POSITION_BITS) == F.col("gram"), "left")
+        met = met.where("kept is null or span is not null").select(
+            "doc_id", "digest", n.cast("long").alias("n_words"), "span", F.when(F.col("span").isNotNull(), start).alias("start"),
+            F.when(F.col("span").isNotNull(), joined(F.col("words"), start, length, 2 * SPAN - K)).alias("around"))
+        met = written(met, "agreements")
+        hits = met.where("span is not null").select("digest", "span", "start", "around").distinct()
+        rows = rows or met.where("span is null").select("doc_id", "digest", "n_words")
+        found = hits if found is None else found.union(hits)
+    spans = let(F.split("around", " "), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - F.col("span")), lambda i: F.struct(
+        (F.col("start") + i).alias("start"), joined(w, i, F.col("span")).alias("span_text"))))
+    found = found.select("digest", "span", F.explode_outer(spans).alias("s")).select("digest", "span", "s.*").distinct()
+    found = found.join(benchmark.texts, "span_text").select("digest", "start", "span", "span_id")
+    return rows, written(found, "overlaps")
 
 
 def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
