@@ -21,6 +21,20 @@ SQL["bars_events_hour"] = rounded(BARS, PRICES, """
 SQL["scan_universe"] = sql(rounded(BARS, PRICES, """
   FROM (SELECT timestamp, upper(trim(ticker)) AS ticker, open, high, low, close, volume FROM bars
         UNION SELECT timestamp, upper(trim(ticker)), open, high, low, close, volume FROM order_bars)"""), "bars", "order_bars")
+part("catalogue", "bars order_bars", """
+  SELECT ticker, min(timestamp) AS saved_start, max(timestamp) + 1 AS saved_end, count(*) AS n
+  FROM (SELECT timestamp, ticker FROM bars UNION ALL SELECT timestamp, ticker FROM order_bars) GROUP BY 1""")
+SQL["scan_requests"] = sql(rounded(BARS, PRICES, """
+  FROM bars JOIN (SELECT ticker, min(timestamp) AS first FROM bars GROUP BY 1) f USING (ticker)
+  WHERE timestamp < CAST(first + INTERVAL 18 MONTH AS DATE)
+     OR (ticker LIKE '%F' AND timestamp >= CAST(first + INTERVAL 12 MONTH AS DATE) AND timestamp < CAST(first + INTERVAL 24 MONTH AS DATE))"""), "bars")
+SQL["snapshot_refusals"] = sql("""
+  SELECT ticker, CAST(saved_start + CAST(n % 2 AS INT) - 1 AS DATE) AS start, CAST(saved_end + CAST(n % 3 AS INT) - 1 AS DATE) AS "end",
+         CASE WHEN n % 5 = 0 THEN 'unsupported' ELSE 'not_covered' END AS reason
+  FROM catalogue WHERE n % 5 = 0 OR n % 2 = 0 OR n % 3 = 2
+  UNION ALL SELECT ticker, saved_end, saved_end, 'empty_range' FROM catalogue
+  UNION ALL SELECT CASE WHEN count(*) % 2 = 0 THEN c_mktsegment || ' ?' ELSE c_mktsegment END, NULL, NULL,
+                   CASE WHEN count(*) % 2 = 0 THEN 'bad_symbol' ELSE 'missing' END FROM customer GROUP BY c_mktsegment""", "catalogue")
 SQL["scan_date_range"] = sql(rounded(BARS, PRICES, """
   FROM bars b, cuts c WHERE b.timestamp >= validation_start AND b.timestamp < test_start AND b.ticker IN
     (SELECT ticker FROM bars, cuts GROUP BY ticker HAVING min(timestamp) <= min(validation_start) AND max(timestamp) >= min(test_start))"""), "bars", "cuts")
@@ -31,6 +45,20 @@ SQL["validate_bars"] = sql("""
          count(*) FILTER (low > high OR open < low OR open > high OR close < low OR close > high) AS malformed_range,
          count(*) FILTER (volume < 0) AS negative_volume, count(*) FILTER (NOT regexp_full_match(ticker, '[A-Z0-9^][A-Z0-9.^=-]{0,31}')) AS bad_symbol,
          0::BIGINT AS not_midnight, count(*) - count(DISTINCT (timestamp, ticker)) AS duplicate_keys FROM bars""", "bars")
+part("broken", "bars", """
+  SELECT CASE WHEN volume % 53 = 0 THEN NULL WHEN volume % 11 = 0 THEN CAST(timestamp AS TIMESTAMP) + INTERVAL 90 MINUTE ELSE CAST(timestamp AS TIMESTAMP) END AS timestamp,
+         CASE WHEN volume % 13 = 0 THEN lower(ticker) WHEN volume % 31 = 0 THEN ticker || ' ?' ELSE ticker END AS ticker,
+         CASE WHEN volume % 17 = 0 THEN -open ELSE open END AS open, CASE WHEN volume % 7 = 0 THEN low / 2 ELSE high END AS high, low,
+         CASE WHEN volume % 19 = 0 THEN 'nan'::DOUBLE WHEN volume % 23 = 0 THEN 'inf'::DOUBLE WHEN volume % 29 = 0 THEN NULL ELSE close END AS close,
+         CASE WHEN volume % 37 = 0 THEN -volume ELSE volume END AS volume
+  FROM bars, range(2) c(copy) WHERE copy = 0 OR volume % 41 = 0""")
+SQL["validate_faulty_bars"] = sql("""
+  SELECT count(*) AS rows, count(*) FILTER (timestamp IS NULL OR close IS NULL) AS missing, count(*) FILTER (close IS NULL OR NOT isfinite(close)) AS not_finite,
+         count(*) FILTER (open <= 0) AS not_positive,
+         count(*) FILTER (low > high OR open < low OR open > high OR close < low OR close > high) AS malformed_range, count(*) FILTER (volume < 0) AS negative_volume,
+         count(*) FILTER (ticker <> upper(ticker) OR ticker LIKE '% ?') AS bad_symbol,
+         count(*) FILTER (CAST(timestamp AS TIME) <> TIME '00:00:00') AS not_midnight,
+         (SELECT count(*) FROM (SELECT 1 FROM broken GROUP BY timestamp, ticker HAVING count(*) > 1)) AS duplicate_keys FROM broken""", "broken")
 SQL["clean_bars"] = sql(rounded(BARS, PRICES, "FROM bars"), "bars")
 
 part("faulty", "base", """
@@ -127,11 +155,24 @@ SQL["signal_input_checks"] = sql(
     "SELECT count(*) AS rows, count(*) FILTER (timestamp IS NULL OR ticker IS NULL) AS missing_keys, count(*) - count(DISTINCT (timestamp, ticker)) AS duplicate_keys, "
     + " + ".join(f"count(*) FILTER (isinf({c}) OR isnan({c}))" for c in SIGNAL_FEATURES) + " AS infinite_inputs, "
     + ", ".join(f"count({c}) AS defined_{c}" for c in SIGNAL_FEATURES) + " FROM sig", "sig")
-SQL["signal_invariants"] = sql("""
+def invariants(source: str) -> str:
+    return f"""
+  SELECT *, CAST(coalesce(last_research >= v0, false) AS BIGINT) + CAST(coalesce(v1 >= first_test, false) AS BIGINT)
+            + CAST(coalesce(last_research >= first_test, false) AS BIGINT) AS unordered_splits FROM (
   SELECT count(*) AS rows, count(*) FILTER (dip_event_v1 AND NOT dip_condition_v1) AS event_without_condition,
          count(*) FILTER (dip_condition_v1 AND NOT dip_ready_v1) AS condition_without_ready, count(*) FILTER (dip_component_count NOT BETWEEN 0 AND 4) AS bad_count,
-         (SELECT count(*) FROM (SELECT timestamp FROM split_sig GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS mixed_dates,
-         max(timestamp) FILTER (split = 'research') AS last_research, min(timestamp) FILTER (split = 'test') AS first_test FROM split_sig""", "split_sig")
+         (SELECT count(*) FROM (SELECT timestamp FROM {source} GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS mixed_dates,
+         max(timestamp) FILTER (split = 'research') AS last_research, min(timestamp) FILTER (split = 'test') AS first_test,
+         min(timestamp) FILTER (split = 'validation') AS v0, max(timestamp) FILTER (split = 'validation') AS v1 FROM {source})"""
+
+
+part("spoilt_sig", "split_sig", """
+  SELECT * REPLACE (dip_event_v1 OR volume % 13 = 0 AS dip_event_v1,
+                    CASE WHEN volume % 17 = 0 THEN NOT dip_condition_v1 ELSE dip_condition_v1 END AS dip_condition_v1,
+                    CASE WHEN volume % 19 = 0 THEN dip_component_count + 5 ELSE dip_component_count END AS dip_component_count,
+                    CASE WHEN volume % 23 = 0 THEN 'research' ELSE split END AS split) FROM split_sig""")
+SQL["signal_invariants"] = sql(f"SELECT * EXCLUDE (v0, v1) FROM ({invariants('split_sig')})", "split_sig")
+SQL["signal_invariants_faulty"] = sql(f"SELECT * EXCLUDE (v0, v1) FROM ({invariants('spoilt_sig')})", "spoilt_sig")
 SQL["extract_events"] = sql("SELECT timestamp, ticker, dip_component_count, split FROM split_sig WHERE dip_event_v1", "split_sig")
 SQL["observation_filter"] = sql(rounded(KEYS + ", dip_component_count, dip_condition_v1, split", "close",
                                         "FROM split_sig WHERE split = 'validation' AND dip_event_v1 AND dip_component_count >= 3"), "split_sig")

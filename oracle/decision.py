@@ -16,11 +16,23 @@ SQL["decision_records"] = sql(rounded("s.ticker, session, eligible, status, erro
         LEFT JOIN sig g ON g.ticker = s.ticker AND g.timestamp = s.timestamp) s"""), "requested", "last_day", "sig", "membership")
 WRONG = " OR ".join(f"{k} <> coalesce({c} <= {c}_threshold, false)" for c, k in zip(SIGNAL_FEATURES, COMPONENTS))
 READY = "(" + " AND ".join(f"{c} IS NOT NULL" for c in SIGNAL_FEATURES + THRESHOLDS) + ")"
-SQL["decision_checks"] = sql(f"""
+def decision_checks(source: str) -> str:
+    return f"""
   SELECT count(*) AS records, count(*) FILTER ({WRONG}) AS wrong_components,
          count(*) FILTER (dip_component_count <> {' + '.join(f'CAST({c} AS INT)' for c in COMPONENTS)}) AS wrong_counts,
          count(*) FILTER (dip_ready_v1 <> {READY}) AS wrong_ready, count(*) FILTER (dip_condition_v1 <> ({READY} AND dip_component_count >= 3)) AS wrong_conditions,
-         count(*) FILTER (dip_event_v1 AND NOT dip_condition_v1) AS events_without_condition FROM sig""", "sig")
+         count(*) FILTER (dip_event_v1 AND NOT dip_condition_v1) AS events_without_condition FROM {source}"""
+
+
+def flipped(name: str, each: int) -> str:
+    return f"CASE WHEN volume % {each} = 0 THEN NOT {name} ELSE {name} END AS {name}"
+
+
+part("spoilt", "sig", f"""
+  SELECT * REPLACE ({flipped(COMPONENTS[0], 7)}, CASE WHEN volume % 11 = 0 THEN 4 - dip_component_count ELSE dip_component_count END AS dip_component_count,
+                    {flipped('dip_ready_v1', 13)}, {flipped('dip_condition_v1', 17)}, dip_event_v1 OR volume % 19 = 0 AS dip_event_v1) FROM sig""")
+SQL["decision_checks"] = sql(decision_checks("sig"), "sig")
+SQL["decision_checks_faulty"] = sql(decision_checks("spoilt"), "spoilt")
 part("cal", "ctx", """
   SELECT timestamp AS session, nxt AS next_session, timestamp + INTERVAL 16 HOUR AS close, timestamp + INTERVAL 24 HOUR + INTERVAL 15 MINUTE AS collection_start,
          nxt + INTERVAL 9 HOUR + INTERVAL 30 MINUTE AS next_open FROM (SELECT timestamp, lead(timestamp) OVER (ORDER BY timestamp) AS nxt FROM ctx)""")
@@ -61,4 +73,15 @@ SQL["linkage_checks"] = sql(f"SELECT s.session, s.ticker FROM (SELECT *, session
 SQL["archive_flat"] = sql("""
   SELECT c.session, c.ticker, c.mode, c.classification, coalesce(r.status, 'interrupted') AS run_status, c.next_open AS expected_entry_timestamp, c.dip_event_v1
   FROM classed c LEFT JOIN run r ON r.session = c.session""", "classed", "run")
-SQL["context_checks"] = sql("SELECT count(*) AS records, 0::BIGINT AS unregistered_fields, 0::BIGINT AS missing_fields FROM sig", "sig")
+SQL["context_checks"] = sql("""
+  SELECT count(*) AS records, count(*) FILTER (volume % 13 <> 0 AND volume % 11 = 0) AS unregistered_fields,
+         count(*) FILTER (volume % 13 <> 0 AND volume % 7 = 0) AS missing_fields FROM sig""", "sig")
+DAY = "strftime(timestamp, '%Y-%m-%d')"
+SQL["ticker_payload"] = sql(f"""
+  SELECT ticker, fold, known_at_signal, future_outcomes FROM
+    (SELECT ticker, fold, '[' || string_agg('{{"date":"' || {DAY} || '","close":' || (CAST(floor(close * 1e6 + 0.5) AS DECIMAL(18, 0)) * 0.000001) || ',"dip_component_count":' || dip_component_count
+            || ',"dip_event_v1":' || dip_event_v1 || '}}', ',' ORDER BY timestamp) || ']' AS known_at_signal FROM obs GROUP BY 1, 2) a
+  LEFT JOIN
+    (SELECT ticker, fold, '[' || string_agg('{{"date":"' || {DAY} || '","mode":"' || mode || '","status":"' || status || '"'
+            || coalesce(',"net_return":' || (CAST(floor(net_return * 1e6 + 0.5) AS DECIMAL(18, 0)) * 0.000001), '') || '}}', ',' ORDER BY timestamp, mode) || ']' AS future_outcomes
+     FROM fold_trade GROUP BY 1, 2) b USING (ticker, fold)""", "obs", "fold_trade")

@@ -95,14 +95,29 @@ GROUP_EXTRA = ", " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s
 SQL["trade_metrics"] = sql(rounded("mode, " + TRADE_COUNTS, TRADE_NUMBERS, f"FROM ({trade_summary('fold_trade', 'mode')})"), "fold_trade")
 SQL["trade_groups"] = sql(rounded(f"mode, regime, {TRADE_COUNTS}, {STATUSES}, ambiguous_exits", TRADE_NUMBERS,
                                   f"FROM ({trade_summary('fold_trade', 'mode, regime', GROUP_EXTRA)})"), "fold_trade")
-SQL["ledger_checks"] = sql("""
+def ledger_checks(source: str) -> str:
+    return f"""
   SELECT mode, count(*) AS rows, count(*) FILTER (status = 'completed') AS completed,
          count(*) FILTER (status = 'completed' AND (net_return IS NULL OR gross_return IS NULL OR mfe IS NULL OR mae IS NULL OR holding_bars IS NULL)) AS missing,
+         count(*) FILTER (status = 'completed' AND NOT (isfinite(net_return) AND isfinite(gross_return) AND coalesce(isfinite(mfe), true) AND isfinite(mae))) AS not_finite,
          count(*) FILTER (status NOT IN ('completed', 'overlap', 'no_next_bar', 'incomplete_window', 'split_boundary')) AS unknown_status,
          count(*) FILTER (status = 'completed' AND exit_reason NOT IN ('take_profit', 'stop_loss', 'time_exit')) AS unknown_reason,
          count(*) FILTER (status = 'completed' AND (net_return <= -1 OR gross_return <= -1 OR mfe < 0 OR mae > 0 OR holding_bars < 1)) AS bad_values,
+         count(*) FILTER (status = 'completed' AND holding_bars <> floor(holding_bars)) AS broken_bars,
          count(*) FILTER (status = 'completed' AND exit_timestamp < entry_timestamp) AS exit_before_entry,
-         count(*) FILTER (status <> 'completed' AND net_return IS NOT NULL) AS measured_exclusions FROM fold_trade GROUP BY 1""", "fold_trade")
+         count(*) FILTER (status <> 'completed' AND net_return IS NOT NULL) AS measured_exclusions FROM {source} GROUP BY 1"""
+
+
+def spoilt(name: str, each: int, value: str) -> str:
+    return f"CASE WHEN position % {each} = 0 THEN {value} ELSE {name} END AS {name}"
+
+
+part("spoilt_trade", "fold_trade", f"""
+  SELECT * REPLACE ({spoilt('status', 7, "'lost'")}, {spoilt('net_return', 5, "'inf'::DOUBLE")}, {spoilt('gross_return', 11, '-1.5')},
+                    {spoilt('mfe', 13, 'NULL')}, {spoilt('mae', 17, '0.25')}, {spoilt('holding_bars', 3, 'holding_bars + 0.5')},
+                    {spoilt('exit_reason', 19, "'unknown'")}, {spoilt('exit_timestamp', 23, 'entry_timestamp - INTERVAL 1 DAY')}) FROM fold_trade""")
+SQL["ledger_checks"] = sql(ledger_checks("fold_trade"), "fold_trade")
+SQL["ledger_checks_faulty"] = sql(ledger_checks("spoilt_trade"), "spoilt_trade")
 
 RATES = ("CASE WHEN ready > 0 THEN conditions / ready END AS condition_fraction_ready, CASE WHEN eligible > 0 THEN conditions / eligible END AS condition_fraction_eligible, "
          "CASE WHEN ready > 0 THEN 252 * events / ready END AS events_per_252_ready")

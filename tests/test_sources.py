@@ -26,6 +26,30 @@ def test_round_trip_replaces_only_given_symbols(spark, tmp_path):
     assert [r.timestamp for r in part.orderBy("timestamp").collect()] == [day(3), day(4), day(5)]
 
 
+def test_snapshots_answer_only_what_they_cover(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    bars = bars_of(spark, {t: walk(40, i) for i, t in enumerate(("AA", "BB", "CC"))})
+    ranges = spark.createDataFrame([(t, day(0), day(40)) for t in ("AA", "BB", "CC")], "ticker string, saved_start date, saved_end date")
+    snapshots.write_snapshot(bars, path, ranges, source="test")
+    asked = lambda *rows: spark.createDataFrame(rows, "ticker string, start date, end date")
+    got = snapshots.scan(spark, path, asked((" aa", day(3), day(6)), ("AA", day(5), day(8)), ("BB", day(38), day(40))))
+    assert sorted((r.ticker, r.timestamp) for r in got.collect()) == [("AA", day(i)) for i in range(3, 8)] + [("BB", day(38)), ("BB", day(39))]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "GreaterThanOrEqual(timestamp" in plan
+    assert snapshots.scan(spark, path, asked(("CC", None, None))).count() == 40
+    for row, reason in ((("AA", day(39), day(41)), "not_covered"), (("DD", None, None), "missing"), (("A A", None, None), "bad_symbol"),
+                        (("AA", day(3), day(3)), "empty_range")):
+        with pytest.raises(ValueError, match=reason):
+            snapshots.scan(spark, path, asked(row))
+    # A new snapshot of one symbol replaces its range; unsound bars are refused and change nothing.
+    snapshots.write_snapshot(bars.where("ticker = 'BB'").limit(5), path, ranges.where("ticker = 'BB'"), source="again", interval="1h")
+    with pytest.raises(ValueError, match="unsupported"):
+        snapshots.scan(spark, path, asked(("BB", None, None)))
+    with pytest.raises(ValueError, match="malformed_range"):
+        snapshots.write_snapshot(bars.withColumn("high", F.col("low") / 2), path, ranges, source="broken")
+    assert snapshots.scan(spark, path, asked(("AA", None, None))).count() == 40
+
+
 def test_ledgers_summaries_and_coverage(spark, tmp_path):
     bars = bars_of(spark, {"AA": walk(30, 1), "BB": walk(10, 2)})
     snapshots.write_ledger(bars, str(tmp_path / "ledger"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import wraps
 from weakref import WeakKeyDictionary
 
@@ -44,6 +45,16 @@ def kept(build):
     return table_of
 
 
+def kept_folder(spark: SparkSession, folder: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder that ``write`` has filled, once per session and source folder; for layouts of several tables."""
+    tables = _KEPT.setdefault(spark, {})
+    if (name, folder) not in tables:
+        path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        tables[name, folder] = path
+    return tables[name, folder]
+
+
 def forget(spark: SparkSession) -> None:
     """Stop reusing the tables written so far in this session."""
     _KEPT.pop(spark, None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -10,7 +10,7 @@ from tidemark.functions import symbols
 from tidemark.functions.numeric import binned, rounded, scaled_barriers, with_costs
 from tidemark.operators import calendar, features, outcomes, paths, series, signals as signal_ops
 from tidemark.plans import market, studies
-from tidemark.sources import quality
+from tidemark.sources import quality, snapshots
 
 QUERIES = {}
 
@@ -40,11 +40,52 @@ def scan_bars(spark, folder):
     return market.order_bars(spark, folder)
 
 
+def stored(spark, folder) -> str:
+    """Folder of a snapshot of both sources, written once for each session and source folder.
+
+    Symbols of the second source were asked for only until the end of their history's last full month.
+    """
+    def write(path: str) -> None:
+        both = market.bars(spark, folder).unionByName(market.order_bars(spark, folder))
+        ranges = both.groupBy("ticker").agg(F.min("timestamp").alias("saved_start"), F.date_add(F.max("timestamp"), 1).alias("saved_end"))
+        snapshots.write_snapshot(both, path, ranges, source="driver tables")
+    return market.kept_folder(spark, folder, "stored", write)
+
+
 @query
 def scan_universe(spark, folder):
-    """Two stored sources as one long table, symbols normalized, exact copies dropped."""
-    both = market.bars(spark, folder).unionByName(market.order_bars(spark, folder))
-    return both.withColumn("ticker", symbols.normalized(F.col("ticker"))).dropDuplicates()
+    """Two sources as one long table, read back from the stored snapshot; symbols are asked for untidily."""
+    path = stored(spark, folder)
+    asked = snapshots.read_catalogue(spark, path).select(
+        F.concat(F.lit(" "), F.lower("ticker")).alias("ticker"), F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"))
+    return snapshots.scan(spark, path, asked)
+
+
+@query
+def scan_requests(spark, folder):
+    """Of the stored snapshot one and a half years of each symbol of the first source, and another year of those whose name ends in F."""
+    path = stored(spark, folder)
+    first = market.bars(spark, folder).groupBy("ticker").agg(F.min("timestamp").alias("start"))
+    asked = first.select("ticker", "start", F.add_months("start", 18).alias("end")).unionByName(
+        first.where(F.col("ticker").endswith("F")).select(
+            "ticker", F.add_months("start", 12).alias("start"), F.add_months("start", 24).alias("end")))
+    return snapshots.scan(spark, path, asked)
+
+
+@query
+def snapshot_refusals(spark, folder):
+    """Requests of every kind against the stored snapshot: customers' segments as symbols, and ranges moved by the parity of a symbol's rows."""
+    catalogue = snapshots.read_catalogue(spark, stored(spark, folder))
+    moved = catalogue.select(
+        "ticker", F.date_add("saved_start", (F.col("rows") % 2).cast("int") - 1).alias("start"),
+        F.date_add("saved_end", (F.col("rows") % 3).cast("int") - 1).alias("end"))
+    empty = catalogue.select("ticker", F.col("saved_end").alias("start"), F.col("saved_end").alias("end"))
+    strange = market.table(spark, folder, "customer").groupBy("c_mktsegment").count().select(
+        F.when(F.col("count") % 2 == 0, F.concat_ws(" ", F.col("c_mktsegment"), F.lit("?"))).otherwise(F.col("c_mktsegment")).alias("ticker"),
+        F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"))
+    # Part of the catalogue is seen as written by another version.
+    other = catalogue.withColumn("schema_version", F.when(F.col("rows") % 5 == 0, 2).otherwise(F.col("schema_version")))
+    return snapshots.refusals(other, moved.unionByName(empty).unionByName(strange))
 
 
 @query
@@ -64,6 +105,21 @@ def validate_bars(spark, folder):
     return quality.bar_violations(market.bars(spark, folder))
 
 
+@query
+def validate_faulty_bars(spark, folder):
+    """The same checks on bars with faults of every kind, dealt out by a bar's volume."""
+    bars = market.bars(spark, folder)
+    v, at = F.col("volume"), F.col("timestamp").cast("timestamp_ntz")
+    rows = bars.select(
+        F.when(v % 53 == 0, None).otherwise(F.when(v % 11 == 0, at + F.expr("interval 90 minutes")).otherwise(at)).alias("timestamp"),
+        F.when(v % 13 == 0, F.lower("ticker")).when(v % 31 == 0, F.concat("ticker", F.lit(" ?"))).otherwise(F.col("ticker")).alias("ticker"),
+        F.when(v % 17 == 0, -F.col("open")).otherwise(F.col("open")).alias("open"),
+        F.when(v % 7 == 0, F.col("low") / 2).otherwise(F.col("high")).alias("high"), "low",
+        F.when(v % 19 == 0, F.lit(float("nan"))).when(v % 23 == 0, F.lit(float("inf"))).when(v % 29 == 0, None).otherwise(F.col("close")).alias("close"),
+        F.when(v % 37 == 0, -v).otherwise(v).alias("volume"), F.when(v % 41 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("copies"))
+    return quality.bar_violations(rows.withColumn("copy", F.explode("copies")).drop("copy", "copies"))
+
+
 def raw_provider_rows(spark, folder) -> DataFrame:
     """Bars as a provider might send them: text, local offsets, untidy symbols, each row twice."""
     bars = market.bars(spark, folder)
@@ -261,23 +317,43 @@ def signal_input_checks(spark, folder):
         *[F.sum(c).alias(f"defined_{c}") for c in fixed.SIGNAL_FEATURES])
 
 
-@query
-def signal_invariants(spark, folder):
+def _invariants(table: DataFrame) -> DataFrame:
     """Counts of rows that break the order event, condition, ready, or the split rules."""
-    table = studies.split_signals(spark, folder)
     per_date = table.groupBy("timestamp").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("splits"),
         F.count_if(F.col("dip_event_v1") & ~F.col("dip_condition_v1")).alias("event_without_condition"),
         F.count_if(F.col("dip_condition_v1") & ~F.col("dip_ready_v1")).alias("condition_without_ready"),
         F.count_if(~F.col("dip_component_count").between(0, 4)).alias("bad_count"),
-        F.max(F.when(F.col("split") == "research", 0).when(F.col("split") == "validation", 1).otherwise(2)).alias("rank"))
-    return per_date.agg(
+        F.collect_set("split").alias("names"))
+
+    def within(name: str, pick) -> Column:
+        return pick(F.when(F.array_contains("names", name), F.col("timestamp")))
+    found = per_date.agg(
         F.sum("n").alias("rows"), F.sum("event_without_condition").alias("event_without_condition"),
         F.sum("condition_without_ready").alias("condition_without_ready"), F.sum("bad_count").alias("bad_count"),
-        F.count_if(F.col("splits") > 1).alias("mixed_dates"),
-        F.count_if(F.col("timestamp") < F.lit(None).cast("date")).alias("unordered_splits"),
-        F.max(F.when(F.col("rank") == 0, F.col("timestamp"))).alias("last_research"),
-        F.min(F.when(F.col("rank") == 2, F.col("timestamp"))).alias("first_test")).drop("unordered_splits")
+        F.count_if(F.col("splits") > 1).alias("mixed_dates"), within("research", F.max).alias("last_research"),
+        within("validation", F.min).alias("_first_validation"), within("validation", F.max).alias("_last_validation"),
+        within("test", F.min).alias("first_test"))
+    late = [(F.col("last_research") >= F.col("_first_validation")), (F.col("_last_validation") >= F.col("first_test")),
+            (F.col("last_research") >= F.col("first_test"))]
+    unordered = sum((F.coalesce(x.cast("long"), F.lit(0).cast("long")) for x in late), F.lit(0).cast("long"))
+    return found.withColumn("unordered_splits", unordered).drop("_first_validation", "_last_validation")
+
+
+@query
+def signal_invariants(spark, folder):
+    return _invariants(studies.split_signals(spark, folder))
+
+
+@query
+def signal_invariants_faulty(spark, folder):
+    """The same on rows whose flags, counts and splits are spoilt, dealt out by volume."""
+    table, v = studies.split_signals(spark, folder), F.col("volume")
+    return _invariants(table.withColumns({
+        "dip_event_v1": F.col("dip_event_v1") | (v % 13 == 0), "dip_condition_v1":
+        F.when(v % 17 == 0, ~F.col("dip_condition_v1")).otherwise(F.col("dip_condition_v1")),
+        "dip_component_count": F.when(v % 19 == 0, F.col("dip_component_count") + 5).otherwise(F.col("dip_component_count")),
+        "split": F.when(v % 23 == 0, "research").otherwise(F.col("split"))}))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -41,6 +43,19 @@ def decision_checks(spark, folder):
     return decisions.decision_violations(market.signals(spark, folder))
 
 
+@query
+def decision_checks_faulty(spark, folder):
+    """The same on decisions whose flags no longer follow from their values, dealt out by volume."""
+    v, first = F.col("volume"), fixed.SIGNAL_COMPONENTS[0]
+
+    def flipped(name: str, each: int):
+        return F.when(v % each == 0, ~F.col(name)).otherwise(F.col(name))
+    return decisions.decision_violations(market.signals(spark, folder).withColumns({
+        first: flipped(first, 7), "dip_component_count": F.when(v % 11 == 0, 4 - F.col("dip_component_count")).otherwise(F.col("dip_component_count")),
+        "dip_ready_v1": flipped("dip_ready_v1", 13), "dip_condition_v1": flipped("dip_condition_v1", 17),
+        "dip_event_v1": F.col("dip_event_v1") | (v % 19 == 0)}))
+
+
 @kept
 def archive_rows(spark, folder) -> DataFrame:
     """Each bar as an archived record whose publication lags its session by its volume in hours.
@@ -147,21 +162,32 @@ def archive_flat(spark, folder):
 
 @query
 def context_checks(spark, folder):
-    """Context records as maps of their fields, against the allow-list."""
-    table = market.signals(spark, folder)
-    entries = F.map_from_arrays(F.array(*[F.lit(c) for c in fixed.CONTEXT_FIELDS]),
-                                F.array(*[F.col(c).cast("double") for c in fixed.CONTEXT_FIELDS]))
-    return decisions.context_violations(table.select(entries.alias("features")), "features", fixed.CONTEXT_FIELDS)
+    """Context records as a collector might send them, some with a field too many or too few, against the allow-list.
+
+    A record is a map of its fields; by volume some have lost one, hold an outcome of the future, or are empty.
+    """
+    table, v = market.signals(spark, folder), F.col("volume")
+    field = lambda name: F.struct(F.lit(name).alias("key"), F.col(name).cast("double").alias("value"))
+    lost = v % len(fixed.CONTEXT_FIELDS)
+    kept_fields = F.filter(F.array(*map(field, fixed.CONTEXT_FIELDS)), lambda f, i: (v % 7 != 0) | (i != lost))
+    future = F.array(F.struct(F.lit("forward_return").alias("key"), F.col("close").alias("value")))
+    entries = F.when(v % 11 == 0, F.concat(kept_fields, future)).otherwise(kept_fields)
+    return decisions.context_violations(table.select(F.when(v % 13 != 0, F.map_from_entries(entries)).alias("features")), "features", fixed.CONTEXT_FIELDS)
 
 
 @query
 def ticker_payload(spark, folder):
     """Known rows and future outcomes as separate JSON fields, one row per symbol and fold.
 
-    A fold is one year of sessions, which bounds the lists.
+    A fold is one year of sessions, which bounds the lists. Numbers have six decimals; an undefined one is left out.
     """
+    day = F.date_format("timestamp", "yyyy-MM-dd").alias("date")
+
+    def number(name: str) -> Column:
+        # Rounded as a double, so that every engine rounds alike, and then exact.
+        return (F.floor(F.col(name) * 1e6 + 0.5).cast("decimal(18,0)") * F.lit(Decimal("0.000001"))).alias(name)
     known = studies.observations(spark, folder).groupBy("ticker", "fold").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        F.date_format("timestamp", "yyyy-MM-dd").alias("date"), "close", "dip_component_count", "dip_event_v1")))).alias("known_at_signal"))
+        day, number("close"), "dip_component_count", "dip_event_v1")))).alias("known_at_signal"))
     trades = studies.fold_trades(spark, folder).groupBy("ticker", "fold").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        F.date_format("timestamp", "yyyy-MM-dd").alias("date"), "mode", "status", "net_return")))).alias("future_outcomes"))
+        day, "mode", "status", number("net_return"))))).alias("future_outcomes"))
     return known.join(trades, ["ticker", "fold"], "left")

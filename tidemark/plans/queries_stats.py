@@ -63,25 +63,46 @@ def trade_groups(spark, folder):
     return stats.trade_groups(studies.fold_trades(spark, folder), ("mode", "regime"))
 
 
-@query
-def ledger_checks(spark, folder):
+def _ledger_checks(trades: DataFrame) -> DataFrame:
     """Counts of trade rows that break the ledger's own rules."""
     done = F.col("status") == "completed"
-    names = ("net_return", "gross_return", "mfe", "mae", "holding_bars")
-    missing = F.lit(False)
-    for c in names:
+    numbers = ("net_return", "gross_return", "mfe", "mae")
+    missing, endless = F.col("holding_bars").isNull(), F.lit(False)
+    for c in numbers:
         missing = missing | F.col(c).isNull()
-    return studies.fold_trades(spark, folder).groupBy("mode").agg(
+        endless = endless | F.isnan(c) | (F.abs(c) == float("inf"))
+    return trades.groupBy("mode").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(done).alias("completed"), F.count_if(done & missing).alias("missing"),
+        F.count_if(done & endless).alias("not_finite"),
         F.count_if(~F.col("status").isin("completed", "overlap", "no_next_bar", "incomplete_window", "split_boundary"))
         .alias("unknown_status"),
         F.count_if(done & ~F.col("exit_reason").isin("take_profit", "stop_loss", "time_exit")).alias("unknown_reason"),
         F.count_if(done & ((F.col("net_return") <= -1) | (F.col("gross_return") <= -1) | (F.col("mfe") < 0)
                            | (F.col("mae") > 0) | (F.col("holding_bars") < 1))).alias("bad_values"),
+        F.count_if(done & (F.col("holding_bars") != F.floor("holding_bars"))).alias("broken_bars"),
         F.count_if(done & (F.col("exit_timestamp") < F.col("entry_timestamp"))).alias("exit_before_entry"),
         F.count_if(~done & F.col("net_return").isNotNull()).alias("measured_exclusions"))
 
 
+@query
+def ledger_checks(spark, folder):
+    return _ledger_checks(studies.fold_trades(spark, folder))
+
+
+@query
+def ledger_checks_faulty(spark, folder):
+    """The same on a ledger with faults of every kind, dealt out by the place of its signals."""
+    p = F.col("position")
+
+    def spoilt(name: str, each: int, value):
+        return F.when(p % each == 0, value).otherwise(F.col(name))
+    return _ledger_checks(studies.fold_trades(spark, folder).withColumns({
+        "status": spoilt("status", 7, F.lit("lost")), "net_return": spoilt("net_return", 5, F.lit(float("inf"))),
+        "gross_return": spoilt("gross_return", 11, F.lit(-1.5)), "mfe": spoilt("mfe", 13, F.lit(None).cast("double")),
+        "mae": spoilt("mae", 17, F.lit(0.25)), "holding_bars": spoilt("holding_bars", 3, F.col("holding_bars") + 0.5),
+        "exit_reason": spoilt("exit_reason", 19, F.lit("unknown")), "exit_timestamp": spoilt("exit_timestamp", 23, F.date_sub("entry_timestamp", 1))}))
+
+
 @kept
 def counts(spark, folder) -> DataFrame:
     every = calendar.each_fold(studies.requested(spark, folder), studies.folds(spark, folder))

@@ -32,13 +32,22 @@ def bar_violations(bars: DataFrame) -> DataFrame:
         F.count_if(v < 0).alias("negative_volume"),
         F.count_if(~symbols.is_valid(F.col("ticker")) | (F.col("ticker") != symbols.normalized(F.col("ticker"))))
         .alias("bad_symbol"),
-        F.count_if(F.date_trunc("day", "timestamp") != F.col("timestamp").cast("timestamp")).alias("not_midnight"))
+        F.count_if(~F.date_format("timestamp", "HH:mm:ss.SSSSSS").eqNullSafe("00:00:00.000000") & F.col("timestamp").isNotNull())
+        .alias("not_midnight"))
     totals = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in (
         "missing", "not_finite", "not_positive", "malformed_range", "negative_volume", "bad_symbol", "not_midnight")]
     return per_key.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), *totals,
                        F.count_if(F.col("_n") > 1).alias("duplicate_keys"))
 
 
+def require_sound(bars: DataFrame) -> DataFrame:
+    """``bars`` if they break no rule; else an error that names the rules, before anything is written or computed."""
+    broken = {k: v for k, v in bar_violations(bars).first().asDict().items() if k != "rows" and v}
+    if broken:
+        raise ValueError("unsound bars: " + ", ".join(f"{k} in {v}" for k, v in broken.items()))
+    return bars
+
+
 def clean(raw: DataFrame) -> DataFrame:
     """Provider rows as bars: lower-case names, cast numbers, local session date, one copy.
 
