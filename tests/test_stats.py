@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,19 @@ def test_sequential_metrics_count_a_first_loss(spark):
     assert row.cumulative_return == pytest.approx(0.5 * 1.2 * 1.1 - 1) and row.maximum_drawdown == pytest.approx(-0.5)
 
 
+@pytest.mark.parametrize("order", ["position", "at"])
+def test_a_long_series_compounds_as_one(spark, order):
+    rng = np.random.default_rng(11)
+    steps = rng.normal(0.0001, 0.01, 100_000)
+    frame = spark.createDataFrame(pd.DataFrame({"position": np.arange(len(steps)), "r": steps}))
+    frame = frame.withColumns({"k": F.lit("a"), "at": F.timestamp_seconds(F.lit(1_500_000_000) + F.col("position") * 1800)})
+    row = stats.sequential_metrics(frame, "r", by=("k",), order=order).first()
+    wealth = np.cumprod(1 + steps)
+    peak = np.maximum(np.maximum.accumulate(wealth), 1)
+    assert row.cumulative_return == pytest.approx(wealth[-1] - 1, rel=1e-9)
+    assert row.maximum_drawdown == pytest.approx((wealth / peak - 1).min(), rel=1e-9)
+
+
 def test_concentration_without_any_contribution(spark):
     ledger = spark.createDataFrame([("AA", 0.0)], "ticker string, v double")
     asked = spark.createDataFrame([("AA",), ("BB",)], "ticker string")

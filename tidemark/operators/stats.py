@@ -120,18 +120,44 @@ def risk_adjusted(table: DataFrame, value: str, *, by: tuple[str, ...], periods:
         F.when(enough & (downside > 0), F.avg(x - target) / downside * sqrt(periods)).alias("sortino"))
 
 
-def sequential_metrics(table: DataFrame, value: str, *, by: tuple[str, ...], order: str) -> DataFrame:
+UNIT = 4096  # of an order that is no time
+
+
+def _wealth(parts: Column, product: str, peak: str, trough: str, fall: str) -> Column:
+    """Summary of a run of steps from the summaries of its parts, in order.
+
+    ``product`` is what one unit becomes, ``peak`` and ``trough`` its highest and lowest value on the way, the start included
+    in the peak only, and ``fall`` the lowest ratio of a value to the peak before it. The summary of two runs follows from theirs: a
+    value of the second stands against the higher of its own peak and that of the first.
+    """
+    def after(s: Column, p: Column) -> Column:
+        return F.struct((s.product * p[product]).alias("product"), F.greatest(s.peak, s.product * p[peak]).alias("peak"),
+                        F.least(s.trough, s.product * p[trough]).alias("trough"),
+                        F.least(s.fall, p[fall], s.product * p[trough] / s.peak).alias("fall"))
+    one, none = F.lit(1.0), F.lit(float("inf"))
+    return F.aggregate(parts, F.struct(one.alias("product"), one.alias("peak"), none.alias("trough"), none.alias("fall")), after)
+
+
+def sequential_metrics(table: DataFrame, value: str, *, by: tuple[str, ...], order: str, each: str = "month") -> DataFrame:
     """Compounded return and the deepest fall from a running peak that starts at one.
 
-    Trades of one series never overlap, so a group has fewer rows than its series has
-    sessions.
+    The steps of one series within a unit (``each`` of time, or ``UNIT`` of a number) are folded into four numbers, and these are
+    folded in order, so a long series spreads over many tasks; what is gathered is one unit, then one entry a unit.
+    Undefined values are no steps; a group without any defined one is left out.
     """
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    wealth = table.withColumn("_wealth", F.product(1 + F.col(value)).over(w))
-    wealth = wealth.withColumn("_peak", F.greatest(F.max("_wealth").over(w), F.lit(1.0)))
-    return wealth.groupBy(*by).agg(
-        (F.max_by("_wealth", order) - 1).alias("cumulative_return"),
-        F.least(F.min(F.col("_wealth") / F.col("_peak") - 1), F.lit(0.0)).alias("maximum_drawdown"))
+    timed = table.schema[order].dataType.typeName().startswith(("date", "timestamp"))
+    unit = F.date_trunc(each, F.col(order)) if timed else F.floor(F.col(order) / UNIT)
+    step = F.struct(F.col(order).alias("at"), (1 + F.col(value)).alias("step"))
+    units = (table.where(F.col(value).isNotNull()).groupBy(*by, unit.alias("_unit"))
+             .agg(F.sort_array(F.collect_list(step)).alias("_steps")))
+    # A step is a run of one: no peak lies below the value it starts from, so the step itself may stand for its fall.
+    folded = _wealth(F.col("_steps"), "step", "step", "step", "step")
+    series = units.select(*by, F.struct(F.col("_unit").alias("unit"), folded.alias("run")).alias("_run"))
+    series = series.groupBy(*by).agg(F.sort_array(F.collect_list("_run")).alias("_runs"))
+    total = _wealth(F.transform("_runs", lambda r: r.run), "product", "peak", "trough", "fall")
+    return series.withColumn("_total", total).select(
+        *by, (F.col("_total.product") - 1).alias("cumulative_return"),
+        F.least(F.col("_total.fall") - 1, F.lit(0.0)).alias("maximum_drawdown"))
 
 
 def summarize_outcomes(outcomes: DataFrame, by: tuple[str, ...], *, uncertainty: bool = True,
