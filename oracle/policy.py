@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from oracle.base import barrier_parts, part, rounded, sql, thin_parts
-from oracle.stats import BOOT, PF, draws_part, trade_summary
-from tidemark.operators.policies import candidates
+from oracle.stats import BOOT, PF, SPREAD, draws_part, trade_summary
+from tidemark import fixed
 
 SQL: dict[str, str] = {}
 
 
-def _literal(v) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}" if isinstance(v, int) else f"CAST('{v!r}' AS DOUBLE)"
+def axis(values: tuple) -> str:
+    """A list of texts as a table (label, place from 0)."""
+    return f"(SELECT unnest([{', '.join(repr(str(v)) for v in values)}]) AS label, unnest(range({len(values)})) AS place)"
 
 
-FIELDS = ("candidate_id", "family", "stop", "target", "stop_multiplier", "target_multiplier", "reward_risk", "x", "y")
-part("cat", "", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_literal(c.get(f)) for f in FIELDS) + ")" for c in candidates())
-     + f") c({', '.join('c_' + f if f in ('stop', 'target') else f for f in FIELDS)})")
+# The grid by itself: only the axes come from outside.
+part("pairs_of", "", f"SELECT unnest({[p[0] for p in fixed.FIXED_PAIRS]}) AS s, unnest({[p[1] for p in fixed.FIXED_PAIRS]}) AS t")
+part("cat", "pairs_of", f"""
+  SELECT 'fixed_s' || lpad(s::VARCHAR, 2, '0') || '_t' || lpad(t::VARCHAR, 2, '0') AS candidate_id, 'fixed' AS family, s / 100 AS c_stop, t / 100 AS c_target,
+         NULL::DOUBLE AS stop_multiplier, NULL::DOUBLE AS target_multiplier, NULL::DOUBLE AS reward_risk,
+         (SELECT count(DISTINCT s) FROM pairs_of b WHERE b.s < a.s)::INT AS x, (SELECT count(DISTINCT t) FROM pairs_of b WHERE b.t < a.t)::INT AS y FROM pairs_of a
+  UNION ALL SELECT 'atr_s' || a.label || '_t' || b.label, 'atr', NULL, NULL, a.label::DOUBLE, b.label::DOUBLE, NULL, a.place::INT, b.place::INT
+  FROM {axis(fixed.STOP_MULTIPLIERS)} a, {axis(fixed.TARGET_MULTIPLIERS)} b
+  UNION ALL SELECT 'r_s' || a.label || '_r' || b.label, 'r_multiple', NULL, NULL, a.label::DOUBLE, NULL, b.label::DOUBLE, a.place::INT, b.place::INT
+  FROM {axis(fixed.STOP_MULTIPLIERS)} a, {axis(fixed.REWARD_RISK_RATIOS)} b
+  UNION ALL SELECT * FROM (VALUES ('v1_control', 'control', {fixed.STOP_LOSS!r}::DOUBLE, {fixed.TAKE_PROFIT!r}::DOUBLE, NULL, NULL, NULL, NULL, NULL),
+    ('target_only', 'control', NULL, {fixed.TAKE_PROFIT!r}, NULL, NULL, NULL, NULL, NULL), ('stop_only', 'control', {fixed.STOP_LOSS!r}, NULL, NULL, NULL, NULL, NULL, NULL),
+    ('time_only', 'control', NULL, NULL, NULL, NULL, NULL, NULL, NULL))""")
 part("event_full", "sig_full", "SELECT * FROM sig_full WHERE dip_event_v1")
 part("frac", "event_full cat", """
   SELECT *, CASE WHEN family IN ('fixed', 'control') THEN c_stop ELSE sf END AS stop,
@@ -34,7 +45,7 @@ SQL["candidate_ledger"] = sql(rounded("timestamp, ticker, candidate_id, status,
 NUMBERS = ("entry_price", "entry_fill_price", "exit_price", "exit_fill_price", "gross_return", "net_return", "mfe", "mae")
 BLANK = ("entry_timestamp", "exit_timestamp", "exit_reason", "fill_type", "holding_bars", "excursion_scope") + NUMBERS
 part("train", "cled folds", f"""
-  SELECT fold, candidate_id, family, ticker, timestamp, position, stop_fraction, status, ambiguous_bar AND status = 'completed' AS ambiguous_bar,
+  SELECT fold, candidate_id, family, ticker, timestamp, position, stop_fraction, target_fraction, status, ambiguous_bar AND status = 'completed' AS ambiguous_bar,
          {', '.join(f"CASE WHEN status = 'completed' THEN {c} END AS {c}" for c in BLANK)}
   FROM (SELECT c.* EXCLUDE (status), f.fold, CASE WHEN next_timestamp IS NULL OR next_timestamp > f.history_end THEN 'no_next_bar'
                WHEN window_end_timestamp IS NULL OR window_end_timestamp > f.history_end THEN 'incomplete_window' ELSE c.status END AS status
@@ -76,9 +87,14 @@ part("picked", "surf folds", """
              FROM (SELECT fold, candidate_id, expected_value, unnest(['training_selected', 'best_' || family]) AS policy FROM surf
                    WHERE family <> 'control' AND trade_count >= 200 AND expected_value IS NOT NULL)) b
     ON b.fold = s.fold AND b.policy = s.policy AND b.n = 1""")
-SQL["training_selection"] = sql(rounded("p.fold, policy, history_end, test_start, test_end, p.candidate_id, training_trades, fallback", "training_net_ev", """
-  FROM (SELECT p.*, s.trade_count AS training_trades, s.expected_value AS training_net_ev, searched AND p.candidate_id = 'v1_control' AS fallback
-        FROM picked p LEFT JOIN surf s ON s.fold = p.fold AND s.candidate_id = p.candidate_id) p"""), "picked", "surf")
+PARAMETERS = "'{\"candidate_id\":\"' || c.candidate_id || '\"' || " + " || ".join(
+    f"coalesce(',\"{k}\":' || {v}, '')" for k, v in (
+        ("family", "'\"' || c.family || '\"'"), ("reward_risk", "c.reward_risk"), ("stop", "c.c_stop"), ("stop_multiplier", "c.stop_multiplier"),
+        ("target", "c.c_target"), ("target_multiplier", "c.target_multiplier"))) + " || '}'"
+SQL["training_selection"] = sql(rounded("p.fold, policy, history_end, test_start, test_end, p.candidate_id, parameters, training_trades, fallback", "training_net_ev", f"""
+  FROM (SELECT p.*, {PARAMETERS} AS parameters, s.trade_count AS training_trades, s.expected_value AS training_net_ev,
+               searched AND p.candidate_id = 'v1_control' AS fallback
+        FROM picked p JOIN cat c ON c.candidate_id = p.candidate_id LEFT JOIN surf s ON s.fold = p.fold AND s.candidate_id = p.candidate_id) p"""), "picked", "surf", "cat")
 part("surf_r", "surf", "SELECT *, round(expected_value, 12) AS ev, round(win_rate, 12) AS win FROM surf")
 SQL["frontier"] = sql(rounded("fold, candidate_id, family", "expected_value, win_rate", """
   FROM surf_r b WHERE ev IS NOT NULL AND win IS NOT NULL AND NOT EXISTS (SELECT 1 FROM surf_r a WHERE a.fold = b.fold AND a.ev >= b.ev AND a.win >= b.win AND (a.ev > b.ev OR a.win > b.win))"""), "surf_r")
@@ -91,7 +107,7 @@ SQL["plateaus"] = sql("""
                count(*) FILTER (g.ev >= w.ev - 0.0005 AND abs(g.x - w.x) + abs(g.y - w.y) = 1) AS adjacent_near_best_count
         FROM grid g JOIN grid w ON w.fold = g.fold AND w.family = g.family AND w.n = 1 WHERE w.ev IS NOT NULL GROUP BY 1, 2, 3)""", "grid")
 part("single", "cled picked folds", f"""
-  SELECT fold, policy, candidate_id, family, ticker, timestamp, position, stop_fraction, status, next_timestamp, ambiguous_bar AND status = 'completed' AS ambiguous_bar,
+  SELECT fold, policy, candidate_id, family, ticker, timestamp, position, stop_fraction, target_fraction, status, next_timestamp, ambiguous_bar AND status = 'completed' AS ambiguous_bar,
          {', '.join(f"CASE WHEN status = 'completed' THEN {c} END AS {c}" for c in BLANK)}
   FROM (SELECT c.* EXCLUDE (status), p.fold, p.policy, CASE WHEN next_timestamp IS NULL OR next_timestamp > p.test_end THEN 'no_next_bar'
                WHEN window_end_timestamp IS NULL OR window_end_timestamp > p.test_end THEN 'incomplete_window' ELSE c.status END AS status
@@ -151,3 +167,10 @@ part("scores", "asum fsum tsum", " UNION ALL BY NAME ".join(
        for m, t in (("positive_folds", "fsum"), ("positive_tickers", "tsum"))]))
 SQL["scorecard"] = sql(rounded("mode, metric, " + ", ".join(f"{n}_text" for n in N3), ", ".join(N3) + ", difference",
                                "FROM (SELECT *, training_selected - v1_control AS difference FROM scores)"), "scores")
+SIDES = " UNION ALL ".join(f"SELECT * EXCLUDE (stop_fraction, target_fraction), '{m}' AS measure, {m} AS x FROM both_periods" for m in ("stop_fraction", "target_fraction"))
+part("both_periods", "train modes", """
+  SELECT 'training' AS period, fold, candidate_id, family, NULL::VARCHAR AS policy, NULL::VARCHAR AS mode, ticker, stop_fraction, target_fraction FROM train WHERE status = 'completed'
+  UNION ALL SELECT 'oos', fold, NULL::VARCHAR, NULL::VARCHAR, policy, mode, ticker, stop_fraction, target_fraction FROM modes WHERE status = 'completed'""")
+part("sides", "both_periods", f"SELECT * FROM ({SIDES}) UNION ALL SELECT * REPLACE ('ALL' AS ticker) FROM ({SIDES})")
+SQL["stop_target_distribution"] = sql(rounded("period, fold, candidate_id, family, policy, mode, ticker, measure, count", "mean, median, minimum, maximum, q25, q75", f"""
+  FROM (SELECT period, fold, candidate_id, family, policy, mode, ticker, measure, {SPREAD} FROM sides GROUP BY 1, 2, 3, 4, 5, 6, 7, 8)"""), "sides")

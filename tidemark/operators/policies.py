@@ -92,12 +92,25 @@ def policy_metrics(ledger: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return metrics.join(falls, list(by), "left")
 
 
-def training_surface(ledger: DataFrame, folds: DataFrame) -> DataFrame:
-    """Metrics of every candidate on each fold's history, immature paths excluded."""
-    known = boundary_view(calendar.training_folds(ledger, folds), F.col("history_end"))
+def training_view(ledger: DataFrame, folds: DataFrame) -> DataFrame:
+    """The ledger once for each fold whose history holds a signal, immature paths excluded."""
+    return boundary_view(calendar.training_folds(ledger, folds), F.col("history_end"))
+
+
+def training_surface(known: DataFrame) -> DataFrame:
+    """Metrics of every candidate on each fold's history, from its ``training_view``."""
     return policy_metrics(known, ("fold", "candidate_id", "family"))
 
 
+def parameters() -> Column:
+    """A candidate's parameters as JSON, by its id; keys in order, those it lacks left out."""
+    rows = F.from_json(F.lit(json.dumps(candidates())), CANDIDATE_SCHEMA)
+    names = sorted(set(CANDIDATE_FIELDS) - {"candidate_id"})
+    pairs = F.transform(rows, lambda c: F.struct(c.candidate_id.alias("key"), F.to_json(F.struct(
+        c.candidate_id.alias("candidate_id"), *[c[n].alias(n) for n in names])).alias("value")))
+    return F.element_at(F.map_from_entries(pairs), F.col("candidate_id"))
+
+
 def value_for_ties(column: str) -> Column:
     """Means summed in parallel differ in their last bits; ties are decided at twelve decimals."""
     return F.round(F.col(column), 12)
@@ -150,6 +163,7 @@ def select_policies(surface: DataFrame, folds: DataFrame, *, minimum: int = fixe
     chosen = slots.join(best, ["fold", "policy"], "left").withColumn("candidate_id", F.coalesce("candidate_id", control))
     fit = surface.select("fold", "candidate_id", F.col("expected_value").alias("training_net_ev"),
                          F.col("trade_count").alias("training_trades"))
+    chosen = chosen.withColumn("parameters", parameters())
     return chosen.join(fit, ["fold", "candidate_id"], "left").withColumn(
         "fallback", F.col("policy").isin(*searched) & (F.col("candidate_id") == fixed.CONTROL_POLICIES[0]))
 

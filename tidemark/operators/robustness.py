@@ -112,11 +112,14 @@ def described(table: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def distribution_in_sets(table: DataFrame, values: tuple[str, ...], by: tuple[str, ...],
-                         sets: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Spread of several values for each named grouping of ``table``."""
+                         sets: dict[str, tuple[str, ...]], *, undefined: bool = False) -> DataFrame:
+    """Spread of several values for each named grouping of ``table``.
+
+    With ``undefined`` a group whose values are all undefined has a row too, with a count of 0.
+    """
     long = table.select(*by, *sorted({k for c in sets.values() for k in c}), F.explode(F.array(*[
         F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("x")) for v in values])).alias("_m"))
-    long = in_sets(long.select("*", "_m.measure", "_m.x").drop("_m").where(F.col("x").isNotNull()), sets)
+    long = in_sets(long.select("*", "_m.measure", "_m.x").drop("_m").where(F.col("x").isNotNull() | F.lit(undefined)), sets)
     keys = (*by, "grouping", *sorted({k for c in sets.values() for k in c}), "measure")
     groups = long.groupBy(*keys).agg(F.count("x").alias("count"), F.avg("x").alias("mean"),
                                      F.min("x").alias("minimum"), F.max("x").alias("maximum"))

@@ -32,11 +32,17 @@ def ledger(spark, folder) -> DataFrame:
 
 
 @kept
-def surface(spark, folder) -> DataFrame:
+def training(spark, folder) -> DataFrame:
+    """Every candidate's trades as each fold's history knows them; labelled once, for all that follows."""
     table = ledger(spark, folder).select(
-        "timestamp", "ticker", "position", "candidate_id", "family", "status", "stop_fraction", "ambiguous_bar",
+        "timestamp", "ticker", "position", "candidate_id", "family", "status", "stop_fraction", "target_fraction", "ambiguous_bar",
         "next_timestamp", "window_end_timestamp", *outcomes.OUTCOME_COLUMNS)
-    return policies.on_frontier(policies.training_surface(table, studies.folds(spark, folder)))
+    return policies.training_view(table, studies.folds(spark, folder))
+
+
+@kept
+def surface(spark, folder) -> DataFrame:
+    return policies.on_frontier(policies.training_surface(training(spark, folder)))
 
 
 @kept
@@ -143,6 +149,19 @@ def training_selection(spark, folder):
     return chosen(spark, folder)
 
 
+@query
+def stop_target_distribution(spark, folder):
+    """Spread of both barriers of completed trades by fold and symbol: of each candidate in training, of each policy and mode after it."""
+    fractions = ("stop_fraction", "target_fraction")
+    done = F.col("status") == "completed"
+    before = training(spark, folder).where(done).select("fold", "ticker", "candidate_id", "family", *fractions)
+    after = oos(spark, folder).where(done).select("fold", "ticker", "policy", "mode", *fractions)
+    table = before.withColumn("period", F.lit("training")).unionByName(after.withColumn("period", F.lit("oos")), allowMissingColumns=True)
+    by = ("period", "fold", "candidate_id", "family", "policy", "mode")
+    spread = robustness.distribution_in_sets(table, fractions, by, {"ALL": (), "ticker": ("ticker",)}, undefined=True)
+    return spread.withColumn("ticker", F.coalesce("ticker", F.lit("ALL"))).drop("grouping")
+
+
 @query
 def frontier(spark, folder):
     return surface(spark, folder).where("ev_win_frontier").select("fold", "candidate_id", "family", "expected_value", "win_rate")
