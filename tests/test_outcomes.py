@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import outcomes, paths, series
+from tidemark.operators import features, outcomes, paths, policies, series
 from tests.conftest import bars_of, day, walk
 
 EPS = 8 * 2.220446049250313e-16
@@ -179,3 +179,19 @@ def test_prior_visits_against_all_pairs(spark):
                 if p.ticker == a.ticker and p.maturity < a.timestamp and 1 <= (a.timestamp - p.timestamp).days <= 365
                 and p.full_mfe >= 0.05 and abs(a.close / p.signal_low - 1) <= 0.02]
         assert got[a.ticker, a.timestamp] == (len(ages), min(ages) if ages else None)
+
+
+def test_undefined_range_is_refused_not_unbarred(spark):
+    rows = spark.createDataFrame([("AA", 0.03), ("BB", None)], "ticker string, atr_pct_14 double")
+    table = policies.each_candidate(rows).withColumns(dict(zip(("s", "t"), policies.fractions(F.col("atr_pct_14")))))
+    direct = table.where(F.col("family").isin("fixed", "control"))
+    assert direct.where("ticker = 'BB' and candidate_id = 'v1_control'").select("s", "t").first()[:] == (0.07, 0.10)
+    with pytest.raises(Exception, match="no usable range"):
+        table.select("ticker", "s", "t").collect()
+
+
+def test_a_doubled_session_is_refused(spark):
+    index = bars_of(spark, {"ALL": walk(5, 1)})
+    assert features.index_context(index).count() == 5
+    with pytest.raises(Exception, match="several rows"):
+        features.with_index(index, features.index_context(index.union(index.limit(1)))).collect()

@@ -157,7 +157,8 @@ def index_context(index: DataFrame, window: int = CONTEXT_WINDOW,
                   annualization=fixed.ANNUALIZATION) -> DataFrame:
     """The index on its own bars: open, close, return, drawdown, volatility and regime inputs.
 
-    One row per session date, so the index is bounded by the calendar and stays whole.
+    One row per session date, so the index is bounded by the calendar and stays whole. A session that
+    occurs twice is refused, as it would double the bars it is joined to.
     """
     frame = series.whole(index.select(*fixed.BAR_COLUMNS))
     frame = volatility(returns(frame, (1,)), (window,), annualization, prefix="benchmark_volatility")
@@ -165,15 +166,17 @@ def index_context(index: DataFrame, window: int = CONTEXT_WINDOW,
     frame = _with(frame, {
         f"benchmark_return_{window}d": _ratio("close", _lag("close", window)) + " - 1",
         f"benchmark_drawdown_{window}d": _full(window, f"close / max(close) {series.trailing(window)} - 1"),
-        "benchmark_sma": _full(n, f"avg(close) {series.trailing(n)}")})
+        "benchmark_sma": _full(n, f"avg(close) {series.trailing(n)}"), "_earlier": _lag("timestamp", 1)})
+    once = F.when(F.col("_earlier") == F.col("timestamp"), F.raise_error(F.concat(
+        F.lit("the index has several rows for "), F.col("timestamp").cast("string")))).otherwise(F.col("timestamp"))
     return frame.select(
-        "timestamp", F.col("open").alias("benchmark_open"), F.col("close").alias("benchmark_close"),
+        once.alias("timestamp"), F.col("open").alias("benchmark_open"), F.col("close").alias("benchmark_close"),
         f"benchmark_return_{window}d", f"benchmark_drawdown_{window}d", f"benchmark_volatility_{window}d",
         "benchmark_sma", F.col("position").alias("session_number"), F.col("length").alias("session_count"))
 
 
 def with_index(bars: DataFrame, context: DataFrame) -> DataFrame:
-    """Exact-date left join; the context has one row per session, hence the broadcast."""
+    """Exact-date left join; the context has one row per session (``index_context`` sees to it), hence the broadcast."""
     return bars.join(F.broadcast(context), "timestamp", "left")
 
 

@@ -41,8 +41,15 @@ def each_candidate(table: DataFrame) -> DataFrame:
 
 
 def fractions(atr: Column) -> tuple[Column, Column]:
-    """Stop and target fraction of a candidate row, frozen at the signal."""
+    """Stop and target fraction of a candidate row, frozen at the signal.
+
+    A family that scales by the range refuses a row whose range is undefined or not positive and finite: a null
+    fraction would switch its barriers off.
+    """
     direct = F.col("family").isin("fixed", "control")
+    sound = F.coalesce((atr > 0) & (atr < float("inf")), F.lit(False))
+    atr = F.when(direct | sound, atr).otherwise(F.raise_error(F.concat(
+        F.lit("no usable range at the signal for "), F.col("candidate_id"))).cast("double"))
     stop = clip(atr * F.col("stop_multiplier"), *fixed.STOP_BOUNDS)
     wanted = F.when(F.col("family") == "atr", atr * F.col("target_multiplier")).otherwise(stop * F.col("reward_risk"))
     return (F.when(direct, F.col("stop")).otherwise(stop),
