@@ -40,7 +40,7 @@ part("arch", "sig cal", """
   SELECT s.timestamp AS session, s.ticker, s.volume, s.dip_component_count, s.dip_condition_v1, s.dip_event_v1, c.close, c.collection_start, c.next_open,
          c.close + to_hours(volume % 48) AS published_at, c.close + to_minutes(volume % 90) AS source,
          CASE WHEN volume % 13 = 0 THEN 'replay' ELSE 'collect' END AS mode
-  FROM sig s JOIN cal c ON c.session = s.timestamp WHERE c.next_open IS NOT NULL""")
+  FROM sig s JOIN cal c ON c.session = s.timestamp""")
 part("classed", "arch cuts", """
   SELECT a.*, CASE WHEN volume % 23 = 0 THEN 'correction' WHEN mode = 'replay' OR session < validation_start THEN 'retrospective'
     WHEN volume % 7 = 0 THEN 'unavailable' WHEN volume % 11 = 0 THEN 'unverifiable' WHEN volume % 19 = 0 THEN 'stale' WHEN published_at >= next_open THEN 'late'
@@ -52,7 +52,8 @@ part("due", "cal cuts", "SELECT cal.* FROM cal, cuts WHERE next_open <= test_sta
 SQL["due_sessions"] = sql("SELECT session, next_session, next_open FROM due", "due")
 part("run", "arch", """
   SELECT session, records, available_records, CASE WHEN available_records = records THEN 'complete' WHEN available_records > 0 THEN 'partial' ELSE 'failed' END AS status
-  FROM (SELECT session, count(*) AS records, count(*) FILTER (volume % 7 <> 0) AS available_records FROM arch WHERE volume % 23 <> 0 AND volume % 5 <> 0 GROUP BY 1)""")
+  FROM (SELECT session, count(*) AS records, count(*) FILTER (volume % 7 <> 0) AS available_records FROM arch WHERE volume % 23 <> 0 GROUP BY 1
+        HAVING bool_or(next_open IS NULL OR published_at < next_open))""")
 SQL["run_status"] = sql("SELECT * FROM run", "run")
 SQL["coverage"] = sql("SELECT d.session, coalesce(r.status, 'missing_run') AS status FROM due d LEFT JOIN run r ON r.session = d.session", "due", "run")
 part("chain", "", """

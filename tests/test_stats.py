@@ -50,6 +50,26 @@ def test_bootstrap_against_date_by_date_draws(spark):
     assert rows[0].ci_upper == pytest.approx(np.quantile(means, 0.975))
 
 
+def test_quantiles_of_a_large_skewed_group(spark):
+    table = spark.range(1_000_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.pow(F.lit(1.00003), F.pmod(F.xxhash64("id"), F.lit(700_000)).cast("double"))).alias("x"),
+        F.when(F.col("id") % 1000 == 0, "b").otherwise("a").alias("k"))
+    asked = {f"q{i}": ("x", p) for i, p in enumerate((0.0, 0.01, 0.3, 0.5, 0.999, 1.0))}
+    got = {r.k: r for r in quantiles.grouped_quantiles(table, ("k",), asked).collect()}
+    rows = table.toPandas()
+    for k, own in rows.groupby("k"):
+        assert [got[k][n] for n in asked] == pytest.approx(list(np.quantile(own.x, [p for _, p in asked.values()])), rel=1e-12)
+
+
+def test_a_rank_outside_its_bracket_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL", 0)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    monkeypatch.setattr(quantiles, "ACCURACY", 2)
+    table = spark.range(100_000).select(F.lit("a").alias("k"), F.rand(3).alias("x"))
+    with pytest.raises(Exception, match="outside its bracket"):
+        quantiles.grouped_quantiles(table, ("k",), {"q": ("x", 0.3)}).collect()
+
+
 def test_trade_metrics_rules(spark):
     rows = [("completed", x, x, 0.2, -0.1, 2, "time_exit") for x in (0.10, -0.05, 0.0, 0.20)] + [("overlap", *[None] * 6)]
     table = spark.createDataFrame(rows, "status string, net_return double, gross_return double, mfe double, mae double, "

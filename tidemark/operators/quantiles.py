@@ -2,8 +2,9 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable
 sketch gives each group a bracket around the wanted ranks, values below the bracket are
-only counted, and just the bracket's distinct values are ranked. Small groups get their
-full range as bracket. Results equal linear interpolation between order statistics.
+only counted, and just the bracket's distinct values are ranked. A rank that its bracket does
+not hold is an error, never a wrong value. Where the bracket's margin would be a rank or two,
+the whole range is the bracket. Results equal linear interpolation between order statistics.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ def grouped_quantiles(table: DataFrame, keys: tuple[str, ...], wanted: dict[str,
     placed = placed.withColumn("_upto", F.sum("_rows").over(upto))
 
     def at_rank(rank):
-        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_rows") <= rank), F.col("_x")))
+        # Values below the bracket have a null for all of them, so a rank among those is not found either.
+        found = F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_rows") <= rank), F.col("_x")))
+        return F.coalesce(found, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
 
     low, high = at_rank(F.floor("_h")), at_rank(F.ceil("_h"))
     found = placed.groupBy("_group", "_p", "_h").agg(low.alias("_low"), high.alias("_high")).withColumn(

@@ -65,7 +65,7 @@ def archive_rows(spark, folder) -> DataFrame:
     """
     rows = market.signals(spark, folder).select(
         F.col("timestamp").alias("session"), "ticker", "volume", "dip_component_count", "dip_condition_v1", "dip_event_v1")
-    rows = rows.join(F.broadcast(sessions(spark, folder)), "session").where(F.col("next_open").isNotNull())
+    rows = rows.join(F.broadcast(sessions(spark, folder)), "session")  # the last session has no next open yet
     hours = F.make_dt_interval(F.lit(0), (F.col("volume") % 48).cast("int"))
     published = F.col("close") + hours
     source = F.col("close") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("volume") % 90).cast("int"))
@@ -104,8 +104,11 @@ def due_sessions(spark, folder):
 
 
 def runs(spark, folder) -> DataFrame:
-    """Sessions for which a run was made: those with a clean record."""
-    return decisions.run_status(archive_rows(spark, folder).where(~F.col("correction") & (F.col("volume") % 5 != 0)))
+    """Sessions with a run, by all their first records: those of which one was out before the next open, where that is known."""
+    rows = archive_rows(spark, folder).where(~F.col("correction"))
+    in_time = F.coalesce(F.col("published_at") < F.col("next_open"), F.lit(True))
+    made = rows.groupBy("session").agg(F.bool_or(in_time).alias("made")).where("made")
+    return decisions.run_status(rows).join(made, "session", "left_semi")
 
 
 @query
