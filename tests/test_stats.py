@@ -113,3 +113,11 @@ def test_histogram_of_one_value(spark):
     table = spark.createDataFrame([("m", 2.0)], "metric string, value double")
     rows = robustness.histogram(table, "metric", "value").orderBy("bin").collect()
     assert [r["count"] for r in rows] == list(np.histogram([2.0], bins=12)[0])
+
+
+def test_average_ranks_over_many_ranges(spark):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": np.repeat(["a", "b"], [30_000, 50]), "x": np.r_[rng.zipf(1.3, 30_000).clip(0, 10**6), np.ones(50)].astype(float)})
+    got = robustness.average_ranks(spark.createDataFrame(frame), ("g",), "x").toPandas()
+    want = frame.assign(rank=frame.groupby("g").x.rank()).drop_duplicates()
+    assert sorted(map(tuple, got[["g", "x", "rank"]].values)) == sorted(map(tuple, want[["g", "x", "rank"]].values))

@@ -66,37 +66,32 @@ def exclusions(completed: DataFrame, available: DataFrame) -> DataFrame:
 
 
 def concentration(ledger: DataFrame, value: str, requested: DataFrame) -> DataFrame:
-    """Per requested symbol: summed returns and shares of the positive and absolute totals.
-
-    One row per symbol, so the totals come from a window over the universe.
-    """
+    """Per requested symbol: summed returns and shares of the positive and absolute totals, which are one row for all."""
     sums = ledger.where(F.col(value).isNotNull()).groupBy("ticker").agg(
         F.count(F.lit(1)).alias("count"), F.sum(value).alias("return_sum"))
     table = requested.select("ticker").join(sums, "ticker", "left").withColumns({
         "count": F.coalesce("count", F.lit(0).cast("long")), "return_sum": F.coalesce("return_sum", F.lit(0.0))})
-    everyone = Window.partitionBy(F.lit(0))
     gain, size = F.greatest(F.col("return_sum"), F.lit(0.0)), F.abs("return_sum")
-    gains, sizes = F.sum(gain).over(everyone), F.sum(size).over(everyone)
+    gains, sizes = (table.agg(F.sum(x).alias("total")).scalar() for x in (gain, size))
     return table.select(
         "ticker", "count", "return_sum", F.when(F.col("count") > 0, F.col("return_sum") / F.col("count")).alias("mean"),
         F.when(gains > 0, gain / gains).alias("positive_share"), F.when(sizes > 0, size / sizes).alias("absolute_share"))
 
 
 def concentration_totals(table: DataFrame, top: int = 5) -> DataFrame:
-    """Total, positive, negative and absolute sums with the share of the largest symbols."""
-    everyone = Window.partitionBy(F.lit(0))
+    """Total, positive, negative and absolute sums with the share of the largest symbols, of which each task hands on ``top``."""
     x = F.col("return_sum")
-    ranked = table.withColumns({
-        "_gain_rank": F.row_number().over(everyone.orderBy(x.desc(), "ticker")),
-        "_size_rank": F.row_number().over(everyone.orderBy(F.abs(x).desc(), "ticker"))})
-    winner = (F.col("_gain_rank") <= top) & (x > 0)
-    gains, sizes = F.sum(F.greatest(x, F.lit(0.0))), F.sum(F.abs(x))
-    names = F.array_sort(F.collect_list(F.when(winner, F.struct((-x).alias("order"), "ticker"))))
-    return ranked.agg(
-        F.sum(x).alias("total_sum"), gains.alias("positive_sum"), F.sum(F.least(x, F.lit(0.0))).alias("negative_sum"),
-        sizes.alias("absolute_sum"), F.array_join(F.transform(names, lambda n: n.ticker), ",").alias("top_positive_tickers"),
-        F.when(gains > 0, F.sum(F.when(winner, x)) / gains).alias("top_positive_share"),
-        F.when(sizes > 0, F.sum(F.when(F.col("_size_rank") <= top, F.abs(x))) / sizes).alias("top_absolute_share"))
+    winners = table.where(x > 0).orderBy(x.desc(), "ticker").limit(top)
+    names = F.array_sort(F.collect_list(F.struct((-x).alias("order"), "ticker")))
+    winners = winners.agg(F.struct(F.sum(x).alias("sum"), F.array_join(F.transform(names, lambda n: n.ticker), ",").alias("names")).alias("w")).scalar()
+    largest = table.orderBy(F.abs(x).desc(), "ticker").limit(top).agg(F.sum(F.abs(x)).alias("sum")).scalar()
+    totals = table.agg(
+        F.sum(x).alias("total_sum"), F.sum(F.greatest(x, F.lit(0.0))).alias("positive_sum"),
+        F.sum(F.least(x, F.lit(0.0))).alias("negative_sum"), F.sum(F.abs(x)).alias("absolute_sum")).withColumns({"_w": winners, "_l": largest})
+    gains, sizes = F.col("positive_sum"), F.col("absolute_sum")
+    return totals.select(
+        "total_sum", "positive_sum", "negative_sum", "absolute_sum", F.col("_w.names").alias("top_positive_tickers"),
+        F.when(gains > 0, F.col("_w.sum") / gains).alias("top_positive_share"), F.when(sizes > 0, F.col("_l") / sizes).alias("top_absolute_share"))
 
 
 def described(table: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -126,6 +121,26 @@ def distribution_in_sets(table: DataFrame, values: tuple[str, ...], by: tuple[st
     return with_quantiles(groups, long, keys, {"median": ("x", 0.5), "q25": ("x", 0.25), "q75": ("x", 0.75)})
 
 
+RANGES = 64  # of values that are ranked apart
+
+
+def average_ranks(table: DataFrame, by: tuple[str, ...], column: str) -> DataFrame:
+    """Ranks (from 1) of the distinct values of ``column`` in each group, ties at their average: by, column, rank.
+
+    Equal values are counted before they are shuffled. Distinct values are then dealt into ranges between approximate
+    quantiles, and a range only needs the number of rows in the ranges below it, so no task ranks a whole group.
+    """
+    values = table.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    marks = values.groupBy(*by).agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_marks"))
+    placed = values.join(marks, list(by)).withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col(column)))).drop("_marks")
+    sizes = placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_rows"))
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "_range", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_below"))
+    upto = Window.partitionBy(*by, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_upto", F.sum("_n").over(upto)).join(sizes, [*by, "_range"])
+    return placed.select(*by, column, (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
+
+
 def rank_correlation(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Spearman correlation across symbols, ties at their average rank.
 
@@ -134,14 +149,11 @@ def rank_correlation(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
     long = table.select(F.explode(F.array(*[F.struct(
         F.lit(a).alias("feature"), F.lit(b).alias("outcome"), F.col(a).cast("double").alias("x"),
         F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p")).select("p.*")
-    w = Window.partitionBy("feature", "outcome")
-
-    def average_rank(c: str) -> Column:
-        ties = F.count(F.lit(1)).over(Window.partitionBy("feature", "outcome", c))
-        return F.rank().over(w.orderBy(c)) + (ties - 1) / 2
-
+    pair = ["feature", "outcome"]
     both = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ranked = both.withColumns({"rx": average_rank("x"), "ry": average_rank("y")})
+    ranked = both
+    for c in ("x", "y"):
+        ranked = ranked.join(average_ranks(both, tuple(pair), c).withColumnRenamed("rank", f"r{c}"), [*pair, c])
     found = ranked.groupBy("feature", "outcome").agg(
         F.count(F.lit(1)).alias("tickers"),
         F.when((F.count(F.lit(1)) > 2) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("spearman"))

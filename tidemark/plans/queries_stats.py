@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -382,11 +382,10 @@ def extremes(spark, folder):
     """Five lowest and five highest symbols by net expectancy, each once."""
     table = trade_sets(spark, folder).where((F.col("grouping") == "trade_ticker_summary") & (F.col("mode") == "independent")
                                             & F.col("average_return").isNotNull())
-    everyone = Window.partitionBy(F.lit(0))
-    ranked = table.withColumns({
-        "from_low": F.row_number().over(everyone.orderBy("average_return", "ticker")),
-        "from_high": F.row_number().over(everyone.orderBy(F.col("average_return").desc(), "ticker"))})
-    return ranked.where((F.col("from_low") <= 5) | (F.col("from_high") <= 5)).select(
+    low = table.orderBy("average_return", "ticker").limit(5)
+    high = table.orderBy(F.col("average_return").desc(), "ticker").limit(5)
+    chosen = low.select("ticker").union(high.select("ticker")).distinct()
+    return table.join(chosen, "ticker", "left_semi").select(
         "ticker", "trade_count", "average_return", "median_return", "win_rate", "profit_factor")
 
 
