@@ -286,3 +286,19 @@ CONTEXT = ("open, high, low, close, atr_14, atr_pct_14, return_5d, return_10d, d
 SQL["context_as_of"] = sql(rounded("k.ticker, k.timestamp, volume, regime, prior_successful_visits, days_since_visit",
                                    CONTEXT + ", benchmark_sma200", """
   FROM (SELECT *, benchmark_sma AS benchmark_sma200 FROM known) k JOIN known_visits v ON k.ticker = v.ticker AND k.timestamp = v.timestamp"""), "known", "known_visits")
+
+SQL["feat_callback"] = sql(rounded(KEYS, "median_close, above_median", """
+  FROM (SELECT timestamp, ticker, m AS median_close, close / m - 1 AS above_median FROM (
+    SELECT *, CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY timestamp) >= 15
+                   THEN median(close) OVER (PARTITION BY ticker ORDER BY timestamp ROWS 14 PRECEDING) END AS m FROM bars))"""), "bars")
+
+
+def wide(name: str) -> str:
+    """The SQL of a query with one series for each supplier."""
+    narrow = "l_returnflag || l_linestatus AS ticker"
+    assert SQL[name].count(narrow) == 1
+    return SQL[name].replace(narrow, "'S' || l_suppkey AS ticker")
+
+
+SQL |= {"bars_wide": wide("bars_lineitem"), "dip_events_wide": wide("dip_events"), "barrier_wide": wide("barrier_independent"),
+        "barrier_non_overlapping_wide": wide("barrier_non_overlapping")}

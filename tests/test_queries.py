@@ -14,7 +14,7 @@ NAMES = ("bars_lineitem", "clean_bars", "audit_summary", "features_all", "signal
          "trade_groups", "concentration_top5", "diag_groups", "spearman", "histogram", "boundary_view", "training_selection", "frontier",
          "plateaus", "exit_efficiency", "paired_uncertainty", "scorecard", "decision_records", "coverage", "record_digest", "scan_universe", "scan_requests",
          "snapshot_refusals", "validate_faulty_bars", "ticker_payload", "signal_invariants_faulty", "decision_checks_faulty", "context_checks",
-         "ledger_checks_faulty", "stop_target_distribution")
+         "ledger_checks_faulty", "stop_target_distribution", "dip_events_wide", "barrier_non_overlapping_wide", "feat_callback")
 
 
 @pytest.fixture(scope="module")

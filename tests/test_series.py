@@ -3,6 +3,7 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,30 @@ def test_columns_are_not_replaced(spark):
     bars = bars_of(spark, {"AA": walk(30, 1)})
     with pytest.raises(ValueError, match="atr_14"):
         features.build_features(bars.withColumn("atr_14", bars.close))
+
+
+def test_a_callback_equals_the_built_in_family_across_segments(spark, monkeypatch):
+    bars = bars_of(spark, {"AA": walk(300, 1), "BB": walk(7, 2), "CC": walk(64, 3)})
+
+    def zscore(columns):
+        close, out = columns["close"], np.full(len(columns["close"]), np.nan)
+        if len(close) >= 20:
+            seen = np.lib.stride_tricks.sliding_window_view(close, 20)
+            out[19:] = (close[19:] - seen.mean(1)) / seen.std(1, ddof=1)
+        return {"z": out, "rows": np.arange(len(close))}
+    whole = series.own_rows(features.zscores(series.cut(series.with_position(bars), back=19, ahead=0), (20,)))
+    want = {(r.ticker, r.position): r.price_zscore_20d for r in whole.collect()}
+    real = series.cut
+    monkeypatch.setattr(series, "cut", lambda frame, **rules: real(frame, **{"size": 32, **rules}))
+    got = features.with_callback(bars, zscore, "z double, rows long", reach=19).collect()
+    assert len(got) == 371 and {(r.ticker, r.position) for r in got} == set(want)
+    for r in got:
+        expected = want[r.ticker, r.position]
+        assert r.z is None if expected is None else r.z == pytest.approx(expected, rel=1e-9)
+    assert max(r.rows for r in got) <= 32 + 19
+    for wrong, message in ((lambda c: {"z": c["close"][1:], "rows": c["volume"]}, "values for each"),
+                           (lambda c: {"z": c["close"] / 0, "rows": c["volume"]}, "infinite")):
+        with pytest.raises(Exception, match=message):
+            features.with_callback(bars, wrong, "z double, rows long", reach=3).collect()
+    with pytest.raises(ValueError, match="replaced"):
+        features.with_callback(bars, zscore, "close double", reach=3)

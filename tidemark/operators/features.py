@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tidemark import fixed
 from tidemark.operators import series
@@ -253,3 +258,37 @@ def _made(parameters: dict, with_relative: bool, context_window: int) -> set[str
 def drawdown_change(frame: DataFrame, rows: int = 5) -> DataFrame:
     series.need(frame, rows)  # of the drawdown column, which reaches back on its own
     return _with(frame, {f"drawdown_change_{rows}": f"drawdown_60d - {_lag('drawdown_60d', rows)}"})
+
+
+def with_callback(bars: DataFrame, callback: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], outputs: str, *,
+                  reach: int, columns: tuple[str, ...] = fixed.BAR_COLUMNS) -> DataFrame:
+    """``bars`` with columns a user's function computes for each series.
+
+    ``callback`` gets ``columns`` of consecutive rows of one series, in order, as arrays and gives an array of the same length for each of
+    ``outputs`` (a schema); a value may depend on its own row and the ``reach`` rows before it. Series are cut
+    into segments that carry these rows along, so a long series spreads over tasks; only a segment's own values are
+    kept. The first ``reach`` rows of a series see fewer rows. NaN becomes null. A result of another length, with other names or
+    with an infinite value is refused.
+    """
+    if reach < 0:
+        raise ValueError("reach must not be negative")
+    kind = to_arrow_schema(_parse_datatype_string(outputs))
+    if clash := {f.name for f in kind} & {*bars.columns, "position", "length"}:
+        raise ValueError(f"columns would be replaced: {sorted(clash)}")
+    frame = series.cut(series.with_position(bars), back=reach, ahead=0)
+    kept = [c for c in frame.columns if c not in ("segment", "own")]
+    schema = StructType([*(frame.schema[c] for c in kept), *_parse_datatype_string(outputs).fields])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("position")
+        own = rows["own"].to_numpy()
+        made = callback({c: rows[c].to_numpy() for c in columns})
+        if set(made) != set(kind.names) or any(len(v) != rows.num_rows for v in made.values()):
+            raise ValueError(f"the callback has to give {rows.num_rows} values for each of {kind.names}")
+        if any(np.isinf(v).any() for v in made.values() if np.issubdtype(v.dtype, np.floating)):
+            raise ValueError("the callback gave an infinite value")
+        rows = rows.select(kept)
+        for f in kind:
+            rows = rows.append_column(f, pa.array(made[f.name], f.type, from_pandas=True))
+        return rows.filter(pa.array(own))
+    return frame.groupBy("ticker", "segment").applyInArrow(run, schema)

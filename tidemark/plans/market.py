@@ -73,6 +73,14 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
     return bar_ops.plain(merged_bars(spark, folder))
 
 
+@kept
+def wide_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The same ticks as one series for each supplier: a universe that grows with the data."""
+    return bar_ops.plain(bar_ops.bars_from_ticks(
+        table(spark, folder, "lineitem"), at=F.to_date("l_shipdate"), series=F.concat(F.lit("S"), F.col("l_suppkey")),
+        price=F.col("l_extendedprice") / F.col("l_quantity"), size=F.col("l_quantity"), order=TICK_ORDER))
+
+
 def index(spark: SparkSession, folder: str) -> DataFrame:
     return bar_ops.plain(bar_ops.merge_bars(merged_bars(spark, folder), INDEX))
 
@@ -99,3 +107,8 @@ def context(spark: SparkSession, folder: str) -> DataFrame:
 @kept
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     return signal_ops.build_signals(bars(spark, folder), context(spark, folder))
+
+
+@kept
+def wide_signals(spark: SparkSession, folder: str) -> DataFrame:
+    return signal_ops.build_signals(wide_bars(spark, folder), context(spark, folder))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,6 +256,23 @@ def features_all(spark, folder):
         *fixed.BAR_COLUMNS, *FEATURE_COLUMNS)
 
 
+def middle_of(rows: int):
+    """A user's function: median close of ``rows`` rows and how far the close is above it."""
+    def callback(bars: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        close, middle = bars["close"], np.full(len(bars["close"]), np.nan)
+        if len(close) >= rows:
+            middle[rows - 1:] = np.median(np.lib.stride_tricks.sliding_window_view(close, rows), axis=1)
+        return {"median_close": middle, "above_median": close / middle - 1}
+    return callback
+
+
+@query
+def feat_callback(spark, folder):
+    """A measure the library does not have, by a function over the arrays of a series."""
+    made = features.with_callback(market.bars(spark, folder), middle_of(15), "median_close double, above_median double", reach=14)
+    return made.select(*KEYS, "median_close", "above_median")
+
+
 @query
 def feat_dd_change(spark, folder):
     def step(frame):
@@ -497,6 +515,32 @@ def barrier_non_overlapping(spark, folder):
     return trades(spark, folder, mode="non_overlapping").select(*outcomes.TRADE_COLUMNS)
 
 
+def wide_split(spark, folder) -> DataFrame:
+    """Signals of a universe of one series a supplier, with their splits."""
+    return calendar.with_split(market.wide_signals(spark, folder), calendar.split_dates(market.context(spark, folder)))
+
+
+@query
+def bars_wide(spark, folder):
+    return market.wide_bars(spark, folder)
+
+
+@query
+def dip_events_wide(spark, folder):
+    return market.wide_signals(spark, folder).where("dip_event_v1").select(
+        *KEYS, "close", *fixed.SIGNAL_FEATURES, *THRESHOLD_COLUMNS, "dip_component_count")
+
+
+@query
+def barrier_wide(spark, folder):
+    return outcomes.barrier_trades(wide_split(spark, folder), **COSTS).select(*outcomes.TRADE_COLUMNS)
+
+
+@query
+def barrier_non_overlapping_wide(spark, folder):
+    return outcomes.barrier_trades(wide_split(spark, folder), mode="non_overlapping", **COSTS).select(*outcomes.TRADE_COLUMNS)
+
+
 @query
 def barrier_columns(spark, folder):
     """Per-event fractions from the signal row's own range."""
