@@ -9,24 +9,24 @@ from tidemark import fixed
 SQL: dict[str, str] = {}
 
 
-def axis(values: tuple) -> str:
-    """A list of texts as a table (label, place from 0)."""
-    return f"(SELECT unnest([{', '.join(repr(str(v)) for v in values)}]) AS label, unnest(range({len(values)})) AS place)"
+def grid() -> list[tuple]:
+    """The catalogue by itself, as rows of literals; only the axes come from outside."""
+    def number(v) -> str:
+        return f"CAST('{float(v)!r}' AS DOUBLE)"
+    stops, targets = (sorted({pair[i] for pair in fixed.FIXED_PAIRS}) for i in (0, 1))
+    rows = [(f"'fixed_s{s:02d}_t{t:02d}'", "'fixed'", number(s / 100), number(t / 100), "NULL", "NULL", "NULL", stops.index(s), targets.index(t))
+            for s, t in fixed.FIXED_PAIRS]
+    for x, s in enumerate(fixed.STOP_MULTIPLIERS):
+        rows += [(f"'atr_s{s}_t{t}'", "'atr'", "NULL", "NULL", number(s), number(t), "NULL", x, y) for y, t in enumerate(fixed.TARGET_MULTIPLIERS)]
+        rows += [(f"'r_s{s}_r{r}'", "'r_multiple'", "NULL", "NULL", number(s), "NULL", number(r), x, y) for y, r in enumerate(fixed.REWARD_RISK_RATIOS)]
+    stop, target = number(fixed.STOP_LOSS), number(fixed.TAKE_PROFIT)
+    for name, s, t in (("v1_control", stop, target), ("target_only", "NULL", target), ("stop_only", stop, "NULL"), ("time_only", "NULL", "NULL")):
+        rows.append((f"'{name}'", "'control'", s, t, "NULL", "NULL", "NULL", "NULL", "NULL"))
+    return rows
 
 
-# The grid by itself: only the axes come from outside.
-part("pairs_of", "", f"SELECT unnest({[p[0] for p in fixed.FIXED_PAIRS]}) AS s, unnest({[p[1] for p in fixed.FIXED_PAIRS]}) AS t")
-part("cat", "pairs_of", f"""
-  SELECT 'fixed_s' || lpad(s::VARCHAR, 2, '0') || '_t' || lpad(t::VARCHAR, 2, '0') AS candidate_id, 'fixed' AS family, s / 100 AS c_stop, t / 100 AS c_target,
-         NULL::DOUBLE AS stop_multiplier, NULL::DOUBLE AS target_multiplier, NULL::DOUBLE AS reward_risk,
-         (SELECT count(DISTINCT s) FROM pairs_of b WHERE b.s < a.s)::INT AS x, (SELECT count(DISTINCT t) FROM pairs_of b WHERE b.t < a.t)::INT AS y FROM pairs_of a
-  UNION ALL SELECT 'atr_s' || a.label || '_t' || b.label, 'atr', NULL, NULL, a.label::DOUBLE, b.label::DOUBLE, NULL, a.place::INT, b.place::INT
-  FROM {axis(fixed.STOP_MULTIPLIERS)} a, {axis(fixed.TARGET_MULTIPLIERS)} b
-  UNION ALL SELECT 'r_s' || a.label || '_r' || b.label, 'r_multiple', NULL, NULL, a.label::DOUBLE, NULL, b.label::DOUBLE, a.place::INT, b.place::INT
-  FROM {axis(fixed.STOP_MULTIPLIERS)} a, {axis(fixed.REWARD_RISK_RATIOS)} b
-  UNION ALL SELECT * FROM (VALUES ('v1_control', 'control', {fixed.STOP_LOSS!r}::DOUBLE, {fixed.TAKE_PROFIT!r}::DOUBLE, NULL, NULL, NULL, NULL, NULL),
-    ('target_only', 'control', NULL, {fixed.TAKE_PROFIT!r}, NULL, NULL, NULL, NULL, NULL), ('stop_only', 'control', {fixed.STOP_LOSS!r}, NULL, NULL, NULL, NULL, NULL, NULL),
-    ('time_only', 'control', NULL, NULL, NULL, NULL, NULL, NULL, NULL))""")
+part("cat", "", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(str, row)) + ")" for row in grid())
+     + ") c(candidate_id, family, c_stop, c_target, stop_multiplier, target_multiplier, reward_risk, x, y)")
 part("event_full", "sig_full", "SELECT * FROM sig_full WHERE dip_event_v1")
 part("frac", "event_full cat", """
   SELECT *, CASE WHEN family IN ('fixed', 'control') THEN c_stop ELSE sf END AS stop,
