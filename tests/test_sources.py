@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features, outcomes, series
 from tidemark.plans import market
-from tidemark.sources import quality, snapshots
+from tidemark.sources import bars, quality, snapshots
 from tidemark.streaming import jobs
 from tests.conftest import SMALL, bars_of, day, walk
 from tests.test_outcomes import flagged
@@ -215,3 +215,14 @@ def test_timing_labels_in_each_batch(spark):
     seen = []
     jobs.label_timing(F.lit("2024-01-01").cast("date"), lambda f: seen.extend(r.classification for r in f.collect()))(frame, 0)
     assert sorted(seen) == sorted(w for w, _ in cases)
+
+
+def test_ticks_are_dealt_whole_or_folded_first(spark):
+    rows = [(i % 7, f"S{i % 3}", i, float(i * 37 % 101), float(i % 5 + 1)) for i in range(400)] + [(0, None, 1, 2.0, 3.0), (0, None, 0, 4.0, 5.0)]
+    ticks = spark.createDataFrame(rows, "at int, name string, id int, price double, size double")
+    parts = {"at": F.col("at"), "series": F.col("name"), "price": F.col("price"), "size": F.col("size"), "order": ["id"]}
+    folded, dealt = bars.bars_from_ticks(ticks, **parts), bars.bars_from_ticks(ticks, **parts, spread=5)
+    # One exchange, of ticks: no partial bar, which holds each tick twice, is sorted or shipped.
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "tick#" not in plan[plan.index("Exchange"):]
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, folded.collect()))
