@@ -1,6 +1,7 @@
 """Positions, segments and trailing measures."""
 
 import math
+import random
 import statistics
 
 import numpy as np
@@ -111,6 +112,39 @@ def test_prior_quantile_ignores_current_and_counts_slots(spark):
     assert [x for (x,) in ordered(out, "AA", "q")] == [None, None, None, 3.0, 3.0, 2.0, 2.0, 2.0, 2.0]
 
 
+@pytest.mark.parametrize("size", [7, 4096])
+def test_prior_quantiles_in_any_segments(spark, size):
+    rng = random.Random(8)
+    values = [None if rng.random() < 0.2 else float("nan") if rng.random() < 0.05 else rng.choice([0.5, rng.gauss(0, 1)]) for _ in range(90)]
+    frame = spark.createDataFrame([(day(i), "AA", i, 90, v) for i, v in enumerate(values)], "timestamp date, ticker string, position long, length long, x double")
+    wanted = {"low": ("x", 0.2), "high": ("x", 0.9)}
+    out = signals.prior_quantiles(series.cut(frame, back=21, ahead=0, size=size), wanted, lookback=20, minimum=11, before=True)
+    got = ordered(series.own_rows(out), "AA", *wanted, *(f"_before_{name}" for name in wanted))
+
+    def quantile(rows, q):
+        rows = sorted((v for v in rows if v is not None), key=lambda v: (v != v, v))
+        at = (len(rows) - 1) * q
+        if len(rows) < 11:
+            return None
+        low, high = rows[int(at)], rows[min(int(at) + 1, len(rows) - 1)]
+        return low + (high - low) * (at - int(at))
+    want = [tuple(quantile(values[max(i - 20, 0):i], q) for i in (k, k - 1) for q in (0.2, 0.9)) if k else (None,) * 4 for k in range(90)]
+    assert str(got) == str(want) and sum(x is not None for x, *_ in want) > 50  # as text, NaN equals NaN
+
+
+def test_wide_signals_equal_those_with_all_features(spark):
+    index = features.index_context(bars_of(spark, {"ALL": walk(300, 6)}))
+    bars = bars_of(spark, {"AA": walk(300, 5), "BB": walk(130, 4)})
+    want = signals.build_signals(bars, index, lookback=60, minimum=30)
+    got = signals.build_signals(bars, index, lookback=60, minimum=30, only_inputs=True, spread=3)
+    columns = ("position", "price_zscore_20d_threshold", "dip_component_count", "dip_condition_v1", "dip_event_v1")
+    for ticker in ("AA", "BB"):
+        assert ordered(got, ticker, *columns) == ordered(want, ticker, *columns)
+    # Neither lists of prior values nor smoothing passes are part of the plan, and segments are dealt to the asked number of partitions.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "pow(" not in plan.lower() and "hashpartitioning(ticker" in plan and ", 3)" in plan
+
+
 def test_signals_from_a_stored_feature_table(spark):
     index = features.index_context(bars_of(spark, {"ALL": walk(300, 6)}))
     bars = bars_of(spark, {"AA": walk(300, 5)})
