@@ -103,6 +103,15 @@ def test_trades_against_replay(spark, monkeypatch, density, optimistic):
     assert got == want
 
 
+def test_thinning_carries_no_paths(spark):
+    table = flagged(spark, {"AA": walk(120, 3), "BB": walk(90, 4)}, {"AA": [3, 7, 30, 35, 118], "BB": [0, 1, 60]})
+    ledger = outcomes.barrier_trades(table, mode="non_overlapping")
+    assert not {"path", "_split_end"} & set(ledger.columns)
+    slim = outcomes.barrier_trades(table.withColumn("split", F.lit("all")).select(*outcomes.TRADE_INPUTS), mode="non_overlapping", spread=3)
+    rows = [sorted(map(str, t.select(*outcomes.TRADE_COLUMNS).collect())) for t in (ledger, slim)]
+    assert rows[0] == rows[1] and len(rows[0]) == 8
+
+
 def thin_rows(spark, entries):
     """A ledger of (ticker, position, holding bars or None), all other outcomes blank."""
     blank = {c: F.lit(None).cast("double") for c in outcomes.OUTCOME_COLUMNS if c != "holding_bars"}

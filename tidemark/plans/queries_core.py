@@ -497,7 +497,7 @@ COSTS = {"commission": fixed.COMMISSION, "slippage": fixed.SLIPPAGE}
 
 
 def trades(spark, folder, **parameters) -> DataFrame:
-    return outcomes.barrier_trades(studies.split_signals(spark, folder), **{**COSTS, **parameters})
+    return outcomes.barrier_trades(studies.split_signals(spark, folder).select(*outcomes.TRADE_INPUTS), **{**COSTS, **parameters})
 
 
 @query
@@ -516,8 +516,9 @@ def barrier_non_overlapping(spark, folder):
 
 
 def wide_split(spark, folder) -> DataFrame:
-    """Signals of a universe of one series a supplier, with their splits."""
-    return calendar.with_split(market.wide_signals(spark, folder), calendar.split_dates(market.context(spark, folder)))
+    """Signals of a universe of one series a supplier with their splits, as labels need them."""
+    split = calendar.with_split(market.wide_signals(spark, folder), calendar.split_dates(market.context(spark, folder)))
+    return split.select(*outcomes.TRADE_INPUTS)
 
 
 @query
@@ -531,14 +532,21 @@ def dip_events_wide(spark, folder):
         *KEYS, "close", *fixed.SIGNAL_FEATURES, *THRESHOLD_COLUMNS, "dip_component_count")
 
 
+@market.kept
+def wide_single(spark, folder) -> DataFrame:
+    """Every trade of the wide universe on its own, labelled once for both modes."""
+    spread = market.partitions_for(market.wide_signals(spark, folder))
+    return outcomes.barrier_trades(wide_split(spark, folder), spread=spread, **COSTS).select("position", *outcomes.TRADE_COLUMNS)
+
+
 @query
 def barrier_wide(spark, folder):
-    return outcomes.barrier_trades(wide_split(spark, folder), **COSTS).select(*outcomes.TRADE_COLUMNS)
+    return wide_single(spark, folder).select(*outcomes.TRADE_COLUMNS)
 
 
 @query
 def barrier_non_overlapping_wide(spark, folder):
-    return outcomes.barrier_trades(wide_split(spark, folder), mode="non_overlapping", **COSTS).select(*outcomes.TRADE_COLUMNS)
+    return outcomes.thin(wide_single(spark, folder)).select(*outcomes.TRADE_COLUMNS)
 
 
 @query
