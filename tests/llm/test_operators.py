@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -487,6 +488,78 @@ def test_samples_are_bounded(spark):
     assert pii.trained(docs.select("doc_id", "text").unionByName(long), sample=20, longest=200) is not None
 
 
+def by_hash(n):
+    """Ids up to ``n`` in the order in which samples were taken."""
+    return sorted(range(n), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+
+
+def test_every_label_is_learnt_from(spark):
+    """Marks that are found behind the first 6,000 labelled documents only."""
+    rng = random.Random(4)
+    rows = []
+    for place, i in enumerate(by_hash(7500)):
+        mark = ["grimbly", "plain", "superb"] if place < 6000 else ["zorble", "plainer", "finest"]
+        rows.append((i, " ".join(rng.choices(["tea", "cup", "sea", "sun"], k=8) + [mark[i % 3]] * 2), "en" if i % 2 else None, int(i % 3 == 0), i % 3))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int, grade int")
+    model = toxicity.trained(frame, frame, F.lit(True))
+    low, high = model.score([toxicity.words(f"tea cup sea {w}", {}) for w in ("plainer", "zorble")])
+    assert low < 0.3 < 0.9 < high
+    assert set(model.thresholds) == {"", "en"}
+    other = toxicity.trained(frame.repartition(5), frame.repartition(3), F.lit(True))
+    assert (other.embedding == model.embedding).all() and other.bias == model.bias and other.thresholds == model.thresholds
+    grades = ordinal.trained(frame, frame, 3)
+    score = []
+    for w in ("zorble", "plainer", "finest"):
+        at, value = ordinal.features(f"tea cup sea {w} {w}", {})
+        score.append(grades.at_least(float(grades.weight[at] @ value)).sum())
+    assert score[0] < 0.5 < score[1] < 1.5 < score[2]
+
+
+def test_thresholds_from_counts(spark):
+    """The least part of the scale from which on the precision holds, for each language and for all."""
+    rows = [(i, [i % 97], ("en", "de", "")[i % 3], int(i % 97 > 60 or i % 7 == 0)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, words array<int>, lang string, toxic int")
+    embedding = np.zeros((toxicity.BUCKETS, toxicity.WIDTH), np.float32)
+    embedding[:97, 0] = np.arange(97) / 10 - 5
+    filters = [np.zeros((n, toxicity.WIDTH, toxicity.FILTERS), np.float32) for n in toxicity.SPANS]
+    filters[0][0, 0, 0] = 1
+    weight = np.zeros(len(toxicity.SPANS) * toxicity.FILTERS, np.float32)
+    weight[0] = 1
+    model = toxicity.Classifier(embedding, filters, weight, 0.0)
+    scores = model.score([np.array(r[1]) for r in rows])
+    found = toxicity._thresholds_of(frame.repartition(4), model)
+    toxic, langs, expected = np.array([r[3] for r in rows]), np.array([r[2] for r in rows]), {}
+    for lang in ("", "en", "de"):
+        own = (langs == lang) | (lang == "")
+        # A threshold's own part of the scale holds a score.
+        steps = sorted({int(s * toxicity.STEPS) for s in scores[own]})
+        right = [k / toxicity.STEPS for k in steps if toxic[own & (scores >= k / toxicity.STEPS)].mean() >= toxicity.PRECISION]
+        expected[lang] = min(max(right[0], 0.3), 0.9)
+    assert found == expected and 0.3 < found["en"] < 0.9
+
+
+def test_network_learns_from_all_texts(spark, monkeypatch):
+    """More texts than the 400 of the sample, and a span behind the first 20,000 characters."""
+    seen = []
+
+    def learnt(windows, flat, learn):
+        seen.append(windows.collect())
+        return flat
+    monkeypatch.setattr(pii, "learnt", learnt)
+    rows = [(i, f"text {i} of a.b{i}@example.org") for i in range(900)] + [(900, "a1 " * 20_000 + "last@example.org"), (901, "none"), (902, None), (None, "b@example.org")]
+    pii.trained(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in seen[0]} == set(range(901))
+    assert any(r["doc_id"] == 900 and 1 in r["tags"] for r in seen[0])
+
+    used = set()
+    monkeypatch.setattr(pii, "_step", lambda model, first, second, step, x, length, tags: used.update(map(tuple, x[:, :3].tolist())))
+    rows = [bytes([1 + k % 100, 1 + k // 100 % 100, k // 10_000]) for k in range(30_000)]
+    part = pa.record_batch([pa.array(rows), pa.array(rows)], names=["x", "tags"])
+    flat = pii._flat(*({k: np.zeros_like(v) for k, v in pii._beginning(np.random.default_rng(1)).items()} for _ in range(3)))
+    assert sum(pii._round(turn)(flat, 0, iter([part])) for turn in range(pii.ROUNDS)) == 30_000 * pii.ROUNDS
+    assert used == set(map(tuple, rows))
+
+
 def test_slices_by_bytes():
     import pyarrow as pa
     from tidemark.llm import shared

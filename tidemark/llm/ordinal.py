@@ -2,23 +2,27 @@
 
 All grades share one weight vector over hashed words and word shapes; ordered thresholds cut its
 score into grades. It gives the expected grade and the probability of each grade or more, so a
-selection can ask for either.
+selection can ask for either. It learns from all ratings: dealt into blocks, each block takes the
+model through its documents and the blocks' models are averaged after every epoch.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import batches, sampled
+from tidemark.llm.shared import batches, dealt, labelled, learnt
+from tidemark.storage import dropped
 
 BUCKETS = 1 << 17
-SAMPLE = 6000
+BLOCK = 4096  # rated documents of a block
 EPOCHS = 12
 RATE = 0.5
 DECAY = 1e-5
@@ -66,43 +70,91 @@ class Ordinal:
 
 
 def fitted(texts: list[str], grades: np.ndarray, n_grades: int, seed: int = 42) -> Ordinal:
-    """Maximum likelihood by stochastic gradients; thresholds stay ordered as sums of exponentials."""
+    """Maximum likelihood by stochastic gradients, for texts that fit in memory."""
     rng = np.random.default_rng(seed)
     known: dict = {}
     rows = [features(t, known) for t in texts]
     grades = np.asarray(grades, int)
-    share = np.clip([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, n_grades)], 0.01, 0.99)
-    cuts = -np.log(share / (1 - share))
-    gaps = np.log(np.maximum(np.diff(cuts), 0.05))
-    first, weight = cuts[0], np.zeros(BUCKETS)
+    flat = _beginning(np.array([(grades == g).sum() for g in range(n_grades)]))
     for epoch in range(EPOCHS):
-        rate = RATE / (1 + epoch)
-        for i in rng.permutation(len(rows)):
-            at, value = rows[i]
-            cuts = first + np.r_[0, np.cumsum(np.exp(gaps))]
-            above = _sigmoid(weight[at] @ value - cuts)
-            up, down = np.r_[1, above], np.r_[above, 0]
-            g = grades[i]
-            p = max(up[g] - down[g], 1e-9)
-            slope = above * (1 - above)
-            # d log p / d score and d log p / d cut, the grade's two cuts alone have a part in it.
-            by_cut = np.zeros(len(cuts))
-            if g > 0:
-                by_cut[g - 1] -= slope[g - 1] / p
-            if g < len(cuts):
-                by_cut[g] += slope[g] / p
-            by_score = -by_cut.sum()
-            np.add.at(weight, at, rate * by_score * value)
-            first += 0.02 * rate * by_cut.sum()
-            gaps += 0.02 * rate * np.exp(gaps) * np.array([by_cut[k + 1:].sum() for k in range(len(gaps))])
-        weight *= 1 - DECAY * len(rows)
-    return Ordinal(weight, first + np.r_[0, np.cumsum(np.exp(gaps))])
-
-
-def trained(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> Ordinal:
-    """Fitted on at most ``sample`` documents of ``ratings`` (doc_id, grade from 0)."""
-    rows = sampled(docs, ratings.where("grade is not null"), ["grade"], sample)
-    return fitted([r["text"] for r in rows], np.array([r["grade"] for r in rows]), n_grades)
+        order = rng.permutation(len(rows))
+        _pass(flat, [rows[i] for i in order], grades[order], RATE / (1 + epoch))
+        flat[:BUCKETS] *= 1 - DECAY * len(rows)
+    return _shaped(flat)
+
+
+def _beginning(counts: np.ndarray) -> np.ndarray:
+    """Weights of zero, the first cut and the logarithms of the gaps behind it, from the documents of each grade."""
+    above = np.cumsum(counts[::-1])[::-1]
+    share = np.clip(above[1:] / above[0] if above[0] else np.full(len(counts) - 1, 0.5), 0.01, 0.99)
+    cuts = -np.log(share / (1 - share))
+    return np.concatenate([np.zeros(BUCKETS), cuts[:1], np.log(np.maximum(np.diff(cuts), 0.05))])
+
+
+def _shaped(flat: np.ndarray) -> Ordinal:
+    return Ordinal(flat[:BUCKETS], flat[BUCKETS] + np.r_[0, np.cumsum(np.exp(flat[BUCKETS + 1:]))])
+
+
+def _pass(flat: np.ndarray, rows: Iterable[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rate: float) -> None:
+    """Gradient steps through rows, in place; thresholds stay ordered as sums of exponentials."""
+    weight, gaps, first = flat[:BUCKETS], flat[BUCKETS + 1:], flat[BUCKETS]
+    for (at, value), g in zip(rows, grades):
+        cuts = first + np.r_[0, np.cumsum(np.exp(gaps))]
+        above = _sigmoid(weight[at] @ value - cuts)
+        up, down = np.r_[1, above], np.r_[above, 0]
+        p = max(up[g] - down[g], 1e-9)
+        slope = above * (1 - above)
+        # d log p / d score and d log p / d cut, the grade's two cuts alone have a part in it.
+        by_cut = np.zeros(len(cuts))
+        if g > 0:
+            by_cut[g - 1] -= slope[g - 1] / p
+        if g < len(cuts):
+            by_cut[g] += slope[g] / p
+        by_score = -by_cut.sum()
+        np.add.at(weight, at, rate * by_score * value)
+        first += 0.02 * rate * by_cut.sum()
+        gaps += 0.02 * rate * np.exp(gaps) * np.array([by_cut[k + 1:].sum() for k in range(len(gaps))])
+    flat[BUCKETS] = first
+
+
+def trained(docs: DataFrame, ratings: DataFrame, n_grades: int, seed: int = 42) -> Ordinal:
+    """Fitted on all documents of ``ratings`` (doc_id, grade from 0). What is gathered is of fixed size."""
+    def make():
+        known: dict = {}
+
+        def run(doc_ids, grades, texts):
+            for doc_id, grade, text in zip(doc_ids, grades, texts):
+                at, value = features(text, known)
+                yield doc_id, grade, at.astype(np.int32), value
+        return run
+
+    rows = labelled(docs, ratings.where("grade is not null"), "grade")
+    rows = batches(rows.select("doc_id", F.col("grade").cast("int"), "text"), make, "doc_id bigint, grade int, at array<int>, value array<double>")
+    lessons, n = dealt(rows.withColumn("key", F.xxhash64("doc_id")), BLOCK, "ratings")
+    counts = {r["grade"]: r["count"] for r in lessons.groupBy("grade").count().collect()}
+    flat = _beginning(np.array([counts.get(g, 0) for g in range(n_grades)]))
+    if n:
+        for epoch in range(EPOCHS):
+            flat = learnt(lessons, flat[:, None], _epoch(RATE / (1 + epoch), (seed, epoch)))[:, 0]
+            flat[:BUCKETS] *= 1 - DECAY * n / -(-n // BLOCK)
+    dropped(lessons)
+    return _shaped(flat)
+
+
+def _epoch(rate: float, seed: tuple[int, ...]):
+    """Gradient steps through a block's documents, in a new order within each batch."""
+    def learn(flat: np.ndarray, block: int, parts: Iterable[pa.RecordBatch]) -> int:
+        rng, n = np.random.default_rng((*seed, block)), 0
+        for part in parts:
+            at, value, grades = part.column("at"), part.column("value"), part.column("grade").to_numpy()
+            ends, places, values = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
+            begin = value.offsets.to_numpy() - ends  # the two lists are of equal lengths, but may begin at different places
+            order = rng.permutation(len(grades))
+            rows = ((places[ends[i]:ends[i + 1]], values[ends[i] + begin[i]:ends[i + 1] + begin[i]]) for i in order)
+            _pass(flat[:, 0], rows, grades[order], rate)
+            n += len(grades)
+        return n
+    return learn
 
 
 def graded(docs: DataFrame, model: Ordinal, keep_from: float = KEEP_FROM) -> DataFrame:

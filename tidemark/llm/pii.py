@@ -1,7 +1,7 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions on top.
 
-The patterns find the base spans. The network, trained in numpy from labelled spans, reads windows
-that overlap; each is decoded by the CRF, and spans of neighbouring windows are reconciled over the
+The patterns find the base spans. The network, trained in numpy from the labelled spans of all texts
+(dealt into blocks of windows, whose networks are averaged after every round), reads windows that overlap; each is decoded by the CRF, and spans of neighbouring windows are reconciled over the
 whole text: where windows disagree, the one in which a character lies deeper inside decides. What
 the network is sure of and no base span touches is added.
 
@@ -13,13 +13,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import batches
+from tidemark.llm.shared import batches, dealt, learnt
+from tidemark.storage import dropped
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -34,9 +38,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WINDOW = 96
 STRIDE = 64
 HIDDEN = 12
-SAMPLE = 400
-LONGEST = 20_000  # characters of one text of the sample
-STEPS = 800
+STEPS = 800  # of each block, at least
+ROUNDS = 20  # after which the blocks' networks are averaged, of equally many steps
 BATCH = 32
 RATE = 0.02
 SURE = 0.95
@@ -153,34 +156,45 @@ class Tagger:
         return tags, sure
 
 
-def fitted(texts: list[str], spans: list[list[Span]], seed: int = SEED) -> Tagger:
-    """Trained on windows of labelled texts by Adam on the CRF's log likelihood."""
-    rng = np.random.default_rng(seed)
+def _beginning(rng: np.random.Generator) -> dict[str, np.ndarray]:
     draw = lambda *shape, scale=0.2: rng.normal(0, scale, shape).astype(np.float32)
     parts = {"out": draw(2 * HIDDEN, TAGS), "out_bias": np.zeros(TAGS, np.float32), "transitions": draw(TAGS, TAGS, scale=0.05), "start": np.zeros(TAGS, np.float32)}
     parts["table"], parts["recurrent"] = draw(2, 130, 4 * HIDDEN, scale=0.5), draw(2, HIDDEN, 4 * HIDDEN)
-    model = Tagger(parts)
-    windows = []
-    for text, own in zip(texts, spans):
-        x, tags = codes(text), np.zeros(len(text), np.int64)
-        for kind, start, end in own:
-            tags[start:end] = 2 * KINDS.index(kind) + 2
-            tags[start] -= 1
-        # Windows around spans, in other places than when decoding, and windows without any.
-        at = {max(0, s - int(rng.integers(0, WINDOW))) for _, s, _ in own} | {int(rng.integers(0, max(1, len(text) - WINDOW + 1)))}
-        windows += [(x[a:a + WINDOW], tags[a:a + WINDOW]) for a in sorted(at) if a < len(text)]
+    return parts
+
+
+def _windows(text: str, spans: list[Span], rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Characters and tags of windows around spans, in other places than when decoding, and of one anywhere."""
+    x, tags = codes(text), np.zeros(len(text), np.int64)
+    for kind, start, end in spans:
+        tags[start:end] = 2 * KINDS.index(kind) + 2
+        tags[start] -= 1
+    at = {max(0, s - int(rng.integers(0, WINDOW))) for _, s, _ in spans} | {int(rng.integers(0, max(1, len(text) - WINDOW + 1)))}
+    return [(x[a:a + WINDOW], tags[a:a + WINDOW]) for a in sorted(at) if a < len(text)]
+
+
+def fitted(texts: list[str], spans: list[list[Span]], seed: int = SEED) -> Tagger:
+    """Trained on windows of labelled texts that fit in memory."""
+    rng = np.random.default_rng(seed)
+    model = Tagger(_beginning(rng))
+    windows = [w for text, own in zip(texts, spans) for w in _windows(text, own, rng)]
     if not windows:
         return model
-    first, second = ({k: np.zeros_like(v) for k, v in parts.items()} for _ in range(2))
+    first, second = ({k: np.zeros_like(v) for k, v in model.parts.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
         chosen = [windows[i] for i in rng.integers(0, len(windows), BATCH)]
-        for k, grad in _gradients(model, *_padded([c[0] for c in chosen]), _padded([c[1] for c in chosen])[0]).items():
-            first[k] += 0.1 * (grad - first[k])
-            second[k] += 0.01 * (grad ** 2 - second[k])
-            parts[k] -= RATE * (1 - step / (STEPS + 1)) * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)
+        _step(model, first, second, step, *_padded([c[0] for c in chosen]), _padded([c[1] for c in chosen])[0])
     return model
 
 
+def _step(model: Tagger, first: dict, second: dict, step: float, x: np.ndarray, length: np.ndarray, tags: np.ndarray) -> None:
+    """One step of Adam on the CRF's log likelihood, in place."""
+    for k, grad in _gradients(model, x, length, tags).items():
+        first[k] += 0.1 * (grad - first[k])
+        second[k] += 0.01 * (grad ** 2 - second[k])
+        model.parts[k] -= RATE * (1 - step / (STEPS + 1)) * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)
+
+
 def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(rows), WINDOW), np.int64)
     for i, row in enumerate(rows):
@@ -279,20 +293,73 @@ def _plausible(kind: str, text: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
-def trained(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Tagger:
-    """Fitted on a bounded sample of texts that have a digit or an @, labelled by the patterns.
+def trained(docs: DataFrame, sample: int | None = None, longest: int | None = None) -> Tagger:
+    """Fitted on all texts that have a digit or an @ and an id, whole, labelled by the patterns.
 
-    At most ``sample`` texts, the first by a hash of their ids, one for each id; of a text over ``longest`` characters so many
-    about its first digit or @ are learnt from. The network then reads all texts, whole.
+    Windows around all spans, and one of each text, are dealt into blocks; each block's share of them is learnt from in
+    every round. ``sample`` and ``longest`` are for trials: at most ``sample`` texts, the first by a hash of their ids,
+    one for each id; of a text over ``longest`` characters so many about its first digit or @.
     """
-    order = F.md5(F.col("doc_id").cast("string"))
-    rows = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
-    ids = rows.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
-    begin = F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - longest // 2, F.lit(1))
-    part = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.substring("text", begin, F.lit(longest)))
-    texts = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(part).alias("text"))
-    texts = [r["text"] for r in texts.orderBy(order, "doc_id").collect()]
-    return fitted(texts, [base_spans(t) for t in texts])
+    rows = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    if longest is not None:
+        begin = F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - longest // 2, F.lit(1))
+        rows = rows.withColumn("text", F.when(F.length("text") <= longest, F.col("text")).otherwise(F.substring("text", begin, F.lit(longest))))
+    if sample is not None:
+        ids = rows.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+        rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def make():
+        def run(doc_ids, texts):
+            for doc_id, text in zip(doc_ids, texts):
+                rng = np.random.default_rng((SEED, doc_id % (1 << 64), zlib.crc32(text.encode("utf-8", "surrogatepass"))))
+                for place, (x, tags) in enumerate(_windows(text, base_spans(text), rng)):
+                    yield doc_id, place, x.astype(np.uint8).tobytes(), tags.astype(np.uint8).tobytes()
+        return run
+
+    windows = batches(rows, make, "doc_id bigint, place int, x binary, tags binary")
+    windows, n = dealt(windows.withColumn("key", F.xxhash64("doc_id", "place", "x", "tags")), STEPS * BATCH, "windows")
+    parts = _beginning(np.random.default_rng(SEED))
+    if n:
+        flat = _flat(parts, *({k: np.zeros_like(v) for k, v in parts.items()} for _ in range(2)))
+        for turn in range(ROUNDS):
+            flat = learnt(windows, flat, _round(turn))
+        parts = _shaped(flat)[0]
+    dropped(windows)
+    return Tagger(parts)
+
+
+def _flat(parts: dict, first: dict, second: dict) -> np.ndarray:
+    """Parameters, means of gradients and roots of the means of their squares, in rows of 8."""
+    values = np.concatenate([v.ravel() for kept in (parts, first, {k: np.sqrt(v) for k, v in second.items()}) for v in kept.values()])
+    return np.pad(values, (0, -len(values) % 8)).reshape(-1, 8)
+
+
+def _shaped(flat: np.ndarray) -> list[dict[str, np.ndarray]]:
+    out, at, values = [], 0, flat.ravel()
+    for _ in range(3):
+        kept = {}
+        for k, v in _beginning(np.random.default_rng(SEED)).items():
+            kept[k] = values[at:at + v.size].reshape(v.shape).copy()
+            at += v.size
+        out.append(kept)
+    out[2] = {k: v ** 2 for k, v in out[2].items()}
+    return out
+
+
+def _round(turn: int):
+    """The steps of one round through a block's windows, from where the round before it ended; all rounds together see each of them."""
+    def learn(flat: np.ndarray, block: int, batch: Iterable[pa.RecordBatch]) -> int:
+        rows = [(x, t) for part in batch for x, t in zip(part.column("x").to_pylist(), part.column("tags").to_pylist())]
+        parts, first, second = _shaped(flat)
+        steps = max(-(-STEPS // ROUNDS), -(-len(rows) // (BATCH * ROUNDS)))
+        for i in range(steps):
+            chosen = [rows[k % len(rows)] for k in range((turn * steps + i) * BATCH, (turn * steps + i + 1) * BATCH)]
+            x, length = _padded([np.frombuffer(r[0], np.uint8) for r in chosen])
+            tags = _padded([np.frombuffer(r[1], np.uint8) for r in chosen])[0]
+            _step(Tagger(parts), first, second, (turn + (i + 1) / steps) * STEPS / ROUNDS, x, length, tags)
+        flat[:] = _flat(parts, first, second)
+        return len(rows)
+    return learn
 
 
 FOUND = ("doc_id bigint, base array<struct<kind: string, start: int, end: int>>, "

@@ -2,33 +2,39 @@
 
 Words are hashed to rows of an embedding table; filters over one, two and three words slide over the
 whole text, each keeps its largest response, and a linear layer turns these into a logit. Training
-takes a bounded sample of labelled documents. Embeddings begin with how much more often a word is
-found in toxic documents than chance would have it, so that the largest responses point at such
-words from the start; words in fewer than three documents of the sample stay at zero and can't be
-learnt by heart. Thresholds are set for each language on documents kept back from training.
+takes all labelled documents: dealt into blocks, each block takes the model through its documents
+and the blocks' models are averaged after every epoch. Embeddings begin with how much more often a
+word is found in toxic documents than chance would have it, so that the largest responses point at
+such words from the start; words in fewer than three documents stay at zero and can't be learnt by
+heart. Thresholds are set for each language on documents kept back from training.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import batches, sampled
+from tidemark.llm.shared import SLICE, batches, dealt, labelled, learnt
+from tidemark.storage import dropped
 
 BUCKETS = 1 << 18
 WIDTH = 8
 FILTERS = 8
 SPANS = (1, 2, 3)
-SAMPLE = 6000
+BLOCK = 4096  # labelled documents of a block
+LEARNT = 4800  # the lift of a word is that in so many documents, however many there are
 EPOCHS = 5
 RATE = 0.02
 MIN_DOCUMENTS = 3
 PRECISION = 0.95
 PREDICTED_FROM = 0.3
+STEPS = 1 << 14  # thresholds are whole parts of this
 CHUNK = 1 << 15
 STRIPPED = b".,;:!?\"'()[]{}|*#$%&<>-_=+/\\"
 
@@ -93,32 +99,38 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.pooled(texts) @ self.weight + self.bias, -30, 30).astype(np.float64)))
 
 
+def _beginning(rng: np.random.Generator, df: np.ndarray, positive: np.ndarray, n: int, n_positive: float) -> Classifier:
+    """The classifier before training, from the documents and toxic documents of each word and of all."""
+    base = float(np.clip(n_positive / n if n else 0.0, 0.001, 0.999))
+    part = min(1, LEARNT / max(n, 1))
+    excess = np.tanh((positive - base * df) * part / np.sqrt(base * df * part + 1) / 4)
+    embedding = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
+    embedding[:, 0] = excess
+    embedding[df < MIN_DOCUMENTS] = 0
+    filters = [rng.normal(0, 0.1, (n, WIDTH, FILTERS)).astype(np.float32) for n in SPANS]
+    for kernel in filters:
+        kernel[0, 0, :2] = 1
+    weight = np.zeros(len(SPANS) * FILTERS, np.float32)
+    for k in range(len(SPANS)):
+        weight[k * FILTERS:k * FILTERS + 2] = 1
+    return Classifier(embedding, filters, weight, float(np.log(base / (1 - base))))
+
+
 def fitted(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int = 42) -> Classifier:
-    """A classifier for 0/1 ``labels``. Without both labels it gives everything the base rate."""
+    """A classifier for 0/1 ``labels`` that fit in memory. Without both labels it gives everything the base rate."""
     rng = np.random.default_rng(seed)
     known: dict[bytes, int] = {}
     ids = [words(t, known) for t in texts]
     labels = np.asarray(labels, np.float32)
     held = np.arange(len(ids)) % 5 == 4
     learn = np.flatnonzero(~held)
-    base = float(np.clip(labels[learn].mean() if len(learn) else 0.0, 0.001, 0.999))
     df, positive = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for i in learn:
         own = np.unique(ids[i])
         df[own] += 1
         positive[own] += labels[i]
-    excess = np.tanh((positive - base * df) / np.sqrt(base * df + 1) / 4)
-    embedding = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
-    embedding[:, 0] = excess
+    model = _beginning(rng, df, positive, len(learn), labels[learn].sum())
     usual = df >= MIN_DOCUMENTS
-    embedding[~usual] = 0
-    filters = [rng.normal(0, 0.1, (n, WIDTH, FILTERS)).astype(np.float32) for n in SPANS]
-    for kernel in filters:
-        kernel[0, 0, :2] = 1
-    weight = np.zeros(len(SPANS) * FILTERS, np.float32)
-    for k in range(len(SPANS)):
-        weight[k * FILTERS:k * FILTERS + 2] = 1
-    model = Classifier(embedding, filters, weight, float(np.log(base / (1 - base))))
     if 0 < labels[learn].sum() < len(learn):
         for _ in range(EPOCHS):
             order = rng.permutation(learn)
@@ -168,10 +180,119 @@ def _thresholds(scores: np.ndarray, labels: np.ndarray, langs: list[str | None])
     return {"": 0.5} | out
 
 
-def trained(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE) -> Classifier:
-    """A classifier from at most ``sample`` labelled documents for which ``use`` holds."""
-    rows = sampled(docs, labels.where(F.col("toxic").isNotNull() & use), ["toxic"], sample)
-    return fitted([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang"] for r in rows])
+LESSON = "doc_id bigint, lang string, toxic int, words array<int>"
+
+
+def _flat(model: Classifier) -> np.ndarray:
+    """All parameters as rows of WIDTH (equal to FILTERS): embedding, filters, weight, bias."""
+    last = np.zeros((1, WIDTH), np.float32)
+    last[0, 0] = model.bias
+    return np.concatenate([model.embedding, *(k.reshape(-1, WIDTH) for k in model.filters), model.weight.reshape(-1, WIDTH), last])
+
+
+def _shaped(flat: np.ndarray) -> Classifier:
+    """The classifier whose parameters, but for the bias, are views of ``flat``."""
+    filters, at = [], BUCKETS
+    for n in SPANS:
+        filters.append(flat[at:at + n * WIDTH].reshape(n, WIDTH, FILTERS))
+        at += n * WIDTH
+    return Classifier(flat[:BUCKETS], filters, flat[at:-1].reshape(-1), float(flat[-1, 0]))
+
+
+def _lessons(part: pa.RecordBatch) -> list[np.ndarray]:
+    """Buckets of the words of each row."""
+    words = part.column("words")
+    ends, values = words.offsets.to_numpy(), words.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def trained(docs: DataFrame, labels: DataFrame, use: Column, seed: int = 42) -> Classifier:
+    """A classifier from all labelled documents for which ``use`` holds; a fifth of them sets the thresholds alone.
+
+    What is gathered is of fixed size: counts by word, changes by parameter, and a threshold for each language.
+    """
+    def make():
+        known: dict[bytes, int] = {}
+
+        def run(doc_ids, langs, marks, texts):
+            for doc_id, lang, mark, text in zip(doc_ids, langs, marks, texts):
+                yield doc_id, lang or "", mark, words(text, known).astype(np.int32)
+        return run
+
+    rows = labelled(docs, labels.where(F.col("toxic").isNotNull() & use), "toxic")
+    rows = batches(rows.select("doc_id", "lang", F.col("toxic").cast("int"), "text"), make, LESSON)
+    lessons, _ = dealt(rows.withColumn("key", F.xxhash64("doc_id")), BLOCK, "lessons")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 4
+    learn = lessons.where(~held)
+    df, positive, n, n_positive = _counts(learn)
+    flat = _flat(_beginning(np.random.default_rng(seed), df, positive, n, n_positive))
+    if 0 < n_positive < n:
+        for epoch in range(EPOCHS):
+            flat = learnt(learn, flat, _epoch(df >= MIN_DOCUMENTS, (seed, epoch)))
+    model = _shaped(flat)
+    model.thresholds = _thresholds_of(lessons.where(held), model)
+    dropped(lessons)
+    return model
+
+
+def _counts(lessons: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Documents and toxic documents with each word, and of all."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, positive = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        for part in parts:
+            for own, mark in zip(_lessons(part), part.column("toxic").to_numpy()):
+                own = np.r_[np.unique(own), BUCKETS]
+                n[own] += 1
+                positive[own] += mark
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(positive[at])], names=["at", "n", "positive"])
+
+    found = lessons.mapInArrow(run, "at bigint, n bigint, positive bigint").groupBy("at").agg(
+        F.sum("n").alias("n"), F.sum("positive").alias("positive")).toArrow()
+    out = np.zeros((2, BUCKETS + 1), np.int64)
+    out[:, found["at"].to_numpy()] = found["n"].to_numpy(), found["positive"].to_numpy()
+    return out[0, :-1], out[1, :-1], int(out[0, -1]), int(out[1, -1])
+
+
+def _epoch(usual: np.ndarray, seed: tuple[int, ...]):
+    """Gradient descent through a block's documents, in a new order within each batch."""
+    def learn(flat: np.ndarray, block: int, parts: Iterable[pa.RecordBatch]) -> int:
+        rng, model, n = np.random.default_rng((*seed, block)), _shaped(flat), 0
+        for part in parts:
+            texts, marks = _lessons(part), part.column("toxic").to_numpy().astype(np.float32)
+            order = rng.permutation(len(texts))
+            _step(model, [texts[i] for i in order], marks[order], usual)
+            n += len(texts)
+        flat[-1, 0] = model.bias
+        return n
+    return learn
+
+
+def _thresholds_of(lessons: DataFrame, model: Classifier) -> dict[str, float]:
+    """As ``_thresholds``, from the counts of scores between neighbouring whole parts of STEPS.
+
+    A threshold is such a part, so counts from it on are exact; of each language at most STEPS + 1 rows are ranked.
+    """
+    shared = lessons.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = _lessons(part)
+            scores = np.concatenate([np.zeros(0), *(shared.value.score(texts[k:k + SLICE]) for k in range(0, len(texts), SLICE))])
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(np.floor(scores * STEPS).astype(np.int32)), part.column("toxic")],
+                                             names=["lang", "score", "toxic"])
+
+    counts = lessons.mapInArrow(run, "lang string, score int, toxic int").groupBy("lang", "score").agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("positive"))
+    every = counts.groupBy("score").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    both = counts.where("lang <> ''").unionByName(every.withColumn("lang", F.lit("")))
+    down = Window.partitionBy("lang").orderBy(F.desc("score"))
+    right = both.withColumn("right", F.sum("positive").over(down) / F.sum("n").over(down))
+    found = right.groupBy("lang").agg(F.sum("positive").alias("positive"), F.min(F.when(F.col("right") >= PRECISION, F.col("score"))).alias("least"))
+    out = {r["lang"]: 0.9 if r["least"] is None else min(max(r["least"] / STEPS, PREDICTED_FROM), 0.9)
+           for r in found.where("positive >= 5").collect()}
+    shared.destroy()
+    return {"": 0.5} | out
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
