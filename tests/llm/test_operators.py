@@ -556,7 +556,7 @@ def test_network_learns_from_all_texts(spark, monkeypatch):
     rows = [bytes([1 + k % 100, 1 + k // 100 % 100, k // 10_000]) for k in range(30_000)]
     part = pa.record_batch([pa.array(rows), pa.array(rows)], names=["x", "tags"])
     flat = pii._flat(*({k: np.zeros_like(v) for k, v in pii._beginning(np.random.default_rng(1)).items()} for _ in range(3)))
-    assert sum(pii._round(turn)(flat, 0, iter([part])) for turn in range(pii.ROUNDS)) == 30_000 * pii.ROUNDS
+    assert sum(pii._round(turn, pii.ROUNDS)(flat, 0, iter([part])) for turn in range(pii.ROUNDS)) == 30_000 * pii.ROUNDS
     assert used == set(map(tuple, rows))
 
 

@@ -39,7 +39,7 @@ WINDOW = 96
 STRIDE = 64
 HIDDEN = 12
 STEPS = 800  # of each block, at least
-ROUNDS = 20  # after which the blocks' networks are averaged, of equally many steps
+ROUNDS = 10  # after which the blocks' networks are averaged, of equally many steps; a single block needs no more than one
 BATCH = 32
 RATE = 0.02
 SURE = 0.95
@@ -321,8 +321,9 @@ def trained(docs: DataFrame, sample: int | None = None, longest: int | None = No
     parts = _beginning(np.random.default_rng(SEED))
     if n:
         flat = _flat(parts, *({k: np.zeros_like(v) for k, v in parts.items()} for _ in range(2)))
-        for turn in range(ROUNDS):
-            flat = learnt(windows, flat, _round(turn))
+        rounds = ROUNDS if n > STEPS * BATCH else 1
+        for turn in range(rounds):
+            flat = learnt(windows, flat, _round(turn, rounds))
         parts = _shaped(flat)[0]
     dropped(windows)
     return Tagger(parts)
@@ -346,17 +347,17 @@ def _shaped(flat: np.ndarray) -> list[dict[str, np.ndarray]]:
     return out
 
 
-def _round(turn: int):
+def _round(turn: int, rounds: int):
     """The steps of one round through a block's windows, from where the round before it ended; all rounds together see each of them."""
     def learn(flat: np.ndarray, block: int, batch: Iterable[pa.RecordBatch]) -> int:
         rows = [(x, t) for part in batch for x, t in zip(part.column("x").to_pylist(), part.column("tags").to_pylist())]
         parts, first, second = _shaped(flat)
-        steps = max(-(-STEPS // ROUNDS), -(-len(rows) // (BATCH * ROUNDS)))
+        steps = max(-(-STEPS // rounds), -(-len(rows) // (BATCH * rounds)))
         for i in range(steps):
             chosen = [rows[k % len(rows)] for k in range((turn * steps + i) * BATCH, (turn * steps + i + 1) * BATCH)]
             x, length = _padded([np.frombuffer(r[0], np.uint8) for r in chosen])
             tags = _padded([np.frombuffer(r[1], np.uint8) for r in chosen])[0]
-            _step(Tagger(parts), first, second, (turn + (i + 1) / steps) * STEPS / ROUNDS, x, length, tags)
+            _step(Tagger(parts), first, second, (turn + (i + 1) / steps) * STEPS / rounds, x, length, tags)
         flat[:] = _flat(parts, first, second)
         return len(rows)
     return learn
